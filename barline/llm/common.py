@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Whitespace that separates words: space and the code points 9 to 13.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -80,7 +81,7 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(low, SPACE_CLASS + "+"), lambda w: w != "")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

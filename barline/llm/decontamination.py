@@ -58,11 +58,15 @@ def _positions(df: DataFrame, keys: list[str], text: str, masks: tuple[tuple[int
     return seeds.select(*keys, F.posexplode("h").alias("position", "hash"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: tuple[tuple[int, ...], ...] = MASKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, contaminated, kept, n_items, item_ids (ascending), most_words (most agreeing words in a window) for every row."""
+def keyed_texts(docs: DataFrame, text_column: str) -> DataFrame:
+    """``docs`` with __k1 and __k2, two hashes of the whole text: equal texts share them, so copies are verified once."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    # Equal texts share a key, so copies are verified once; two hashes of the whole text tell texts apart.
-    keyed = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
+    return docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit("second"), text)})
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: tuple[tuple[int, ...], ...] = MASKS, text_column: str = "text") -> DataFrame:
+    """k1, k2, item_ids (ascending), most_words of each distinct contaminated text."""
+    keyed = keyed_texts(docs.select(text_column), text_column).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     item_seeds, _ = materialize(_positions(items, ["item_id"], "text", masks).select("item_id", F.col("position").alias("item_position"), "hash"), "item-seeds")
     hashes = checked_broadcast(item_seeds.select("hash").distinct())
@@ -80,13 +84,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     span = F.least(F.lit(window), F.size("same"))
     most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - span), lambda i: F.get(F.col("sums"), i + span) - F.get(F.col("sums"), i)))
     found = lined.withColumn("sums", sums).select("k1", "k2", "item_id", most.alias("words"), span.alias("span")).where(F.col("words") >= F.col("span") - F.lit(substitutions))
-    verdict, _ = materialize(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("words").alias("most_words")), "verdict")
-    joined = keyed.select("doc_id", "k1", "k2").join(checked_broadcast(verdict), ["k1", "k2"], "left")
+    return materialize(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("words").alias("most_words")), "verdict")[0]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:
+    """doc_id, contaminated, kept, n_items, item_ids (ascending), most_words (most agreeing words in a window) for every row."""
+    verdict = verdicts(docs, benchmark, text_column=text_column, **options)
+    keyed = keyed_texts(docs.select(F.col(id_column).alias("doc_id"), text_column), text_column).select("doc_id", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
+    joined = keyed.join(checked_broadcast(verdict), ["k1", "k2"], "left")
     return joined.select(
         "doc_id",
         F.col("item_ids").isNotNull().alias("contaminated"),
         F.col("item_ids").isNull().alias("kept"),
         F.when(F.col("item_ids").isNull(), F.lit(0)).otherwise(F.size("item_ids")).alias("n_items"),
-        F.coalesce("item_ids", F.array().cast(f"array<{dict(items.dtypes)['item_id']}>")).alias("item_ids"),
+        F.coalesce("item_ids", F.array().cast(dict(verdict.dtypes)["item_ids"])).alias("item_ids"),
         F.coalesce(F.col("most_words").cast("int"), F.lit(0)).alias("most_words"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all of their columns."""
+    verdict = verdicts(docs, benchmark, text_column=text_column, **options).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    return keyed_texts(docs, text_column).join(checked_broadcast(verdict), ["__k1", "__k2"], "left_anti").select(*docs.columns)

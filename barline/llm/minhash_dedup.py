@@ -54,7 +54,8 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    text = F.col(text_column).cast("string")
+    source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("doc_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,11 +63,11 @@ def _sketched(docs: DataFrame, id_column: str, text_column: str, size: int) -> D
             for texts in sh.slices(batch.column("text")):
                 sets, offsets = sh.shingle_sets(texts, size)
                 signature = (sh.minhashes(sets, offsets, HASHES) & np.uint32(0xFFFF)).astype(np.uint16)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(texts)), "n_shingles": pa.array(np.diff(offsets)), "digest": pa.array(sh.digests(sets, offsets), pa.binary()), "signature": _fixed(signature), "sketch": _fixed(sh.bin_sketch(sets, offsets, BINS))})
+                yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(at, len(texts)) for c in ("doc_id", "doc_key")}, "n_shingles": pa.array(np.diff(offsets)), "digest": pa.array(sh.digests(sets, offsets), pa.binary()), "signature": _fixed(signature), "sketch": _fixed(sh.bin_sketch(sets, offsets, BINS))})
                 at += len(texts)
 
     kind = next(f.dataType.simpleString() for f in source.schema if f.name == "doc_id")
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, signature binary, sketch binary")
+    return source.mapInArrow(run, f"doc_id {kind}, doc_key bigint, n_shingles bigint, digest binary, signature binary, sketch binary")
 
 
 def group_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +220,21 @@ def _across(buckets: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id is the component's id) for every row."""
+    return grouped(docs, shingle_words, percent, id_column, text_column).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component, of its least id, with all columns of ``docs``; rows equal in id and text count once."""
+    firsts = grouped(docs, shingle_words, percent, id_column, text_column).where("first").select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct()
+    keyed = docs.withColumns({"__own": F.col(id_column), "__own_key": F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))})
+    return keyed.join(firsts, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left_semi").dropDuplicates(["__own", "__own_key"]).select(*docs.columns)
+
+
+def grouped(docs: DataFrame, shingle_words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, doc_key (hash of the text), n_shingles, component_id, first (its component's row that stays) for every row."""
     spark = docs.sparkSession
     rows, _ = materialize(_sketched(docs, id_column, text_column, shingle_words), "sketches")
-    by_digest = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+    by_digest = rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.coalesce(F.col("doc_id").isNull(), F.lit(True)).alias("null"), "doc_id", "doc_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     nodes, _ = materialize(by_digest.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     buckets, _ = materialize(_buckets(_table_rows(nodes)), "buckets")
     stars, stars_path = materialize(_possible(buckets.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), nodes, percent), "stars-possible")
@@ -234,13 +247,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         parts, _ = materialize(components(edges.union(more)), "parts")
     remove_path(spark, stars_path)
     placed = nodes.select("digest", "node", "rep").join(parts, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "component").select("digest", "component_id")
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    named = placed.join(least, "component").select("digest", "least")
+    empty = F.col("n_shingles") == 0
     return (
-        rows.select("doc_id", "n_shingles", "digest")
+        rows.select("doc_id", "doc_key", "n_shingles", "digest")
         .join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(
+            "doc_id",
+            "doc_key",
+            "n_shingles",
+            F.when(empty, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+            (empty | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("doc_key") == F.col("least.doc_key")))).alias("first"),
+        )
     )
 
 

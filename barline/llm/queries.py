@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import best_fit_packing, chat_format, decontamination, minhash_dedup, quality_compression, quality_rules, text_statistics, token_files, toxicity_chain, url_rules
+from barline.llm import best_fit_packing, chat_format, decontamination, line_dedup, minhash_dedup, quality_compression, quality_rules, text_statistics, token_files, toxicity_chain, url_rules
 from barline.llm.common import labelled, scratch_path, table
 
 #: Labelled rows that a model is fitted on, at most about (by hash of the id).
@@ -80,6 +80,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op7_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    least = F.least("doc_id", F.array_min("__first_docs"))
+    return done.select("doc_id", least.alias("class_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_links").alias("n_links"), F.col("__first_docs").alias("first_docs"), F.crc32(F.coalesce("text", F.lit(""))).alias("kept_text_crc32"))
+
+
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -105,7 +111,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_quality, op2_quality_rules, op3_best_two_fit, op4_chat_round_trip, op5_url_association, op6_minhash_near_dedup, op8_spaced_seed_decontamination, op9_simple8b_tokens, op10_toxicity_chain)}
+    return {f.__name__: f for f in (op1_compression_quality, op2_quality_rules, op3_best_two_fit, op4_chat_round_trip, op5_url_association, op6_minhash_near_dedup, op7_line_edit_dedup, op8_spaced_seed_decontamination, op9_simple8b_tokens, op10_toxicity_chain)}
 
 
 def oracle_sql() -> dict[str, str]:

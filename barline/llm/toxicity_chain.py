@@ -176,3 +176,14 @@ def score(df: DataFrame, chain: ToxicityChain, text_column: str, keep: list[str]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
     return map_batches(source, run, schema + "".join(f", `p_{c}` double" for c in chain.categories))
+
+
+def keep_clean(df: DataFrame, chain: ToxicityChain, below: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``df``, with all columns, whose last category's probability is less than ``below``."""
+    broadcast = df.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(text_column).cast(pa.string()).to_pylist()
+        return batch.filter(pa.array([broadcast.value.probabilities(t)[-1] < below for t in texts], pa.bool_()))
+
+    return map_batches(df, run, df.schema)

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("bar_queries", "feature_queries")
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def _registries() -> list:
+    return [importlib.import_module(f"barline.plans.{name}").R for name in MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for r in _registries() for k, v in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for r in _registries() for k, v in r.sql.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["bars_daily"](spark, sf_dir)

@@ -33,7 +33,8 @@ def host_column(url: Column) -> Column:
 
 def path_column(url: Column) -> Column:
     """After the host up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
+    return F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1)
 
 
 def token_column(url: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bar_queries", "feature_queries", "analytics_queries", "ledger_queries")
+MODULES = ("bar_queries", "feature_queries", "analytics_queries", "ledger_queries", "portfolio_queries")
 
 
 def _registries() -> list:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["bars_daily"](spark, sf_dir)
+    return queries()["trade_metrics"](spark, sf_dir)

@@ -134,3 +134,19 @@ def close_location() -> Column:
 
 def fill_forward(x: Column) -> Column:
     return F.last(x, ignorenulls=True).over(running())
+
+
+def zero_seeded_rsi(closes: Column, n: int) -> Column:
+    """Index over an array of closes whose averages start at zero; NULL for the first n - 1 moves."""
+    moves = F.zip_with(F.slice(closes, F.lit(2), F.greatest(F.size(closes) - 1, F.lit(0))), F.slice(closes, F.lit(1), F.greatest(F.size(closes) - 1, F.lit(0))), lambda b, a: b - a)
+    a = 1 / n
+    gain = F.aggregate(moves, F.lit(0.0), lambda v, d: v + a * (F.greatest(d, F.lit(0.0)) - v))
+    loss = F.aggregate(moves, F.lit(0.0), lambda v, d: v + a * (F.greatest(-d, F.lit(0.0)) - v))
+    return F.when(F.size(moves) >= n - 1, F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss)))
+
+
+def half_life_deviation(values: Column, half_life: float, least: int) -> Column:
+    """Square root of the half-life weighted mean square of an array (newest last)."""
+    keep = 0.5 ** (1 / half_life)
+    sums = F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda v, x: F.struct((v["s"] * keep + x * x).alias("s"), (v["w"] * keep + 1).alias("w")))
+    return F.when(F.size(values) >= least, F.sqrt(sums["s"] / sums["w"]))

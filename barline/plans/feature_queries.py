@@ -172,3 +172,23 @@ def grid_entries(spark: SparkSession, sf: str) -> DataFrame:
 def score_formula(spark: SparkSession, sf: str) -> DataFrame:
     formula = rl.Formula("(high - low) / volume - 2 * close ** 2 / 1000000.0", ("high", "low", "volume", "close"))
     return daily(spark, sf).select("symbol", "ts", formula.column().alias("score"))
+
+
+@R.query(D + f", f AS (SELECT symbol, ts, 4 * ({STD('close', 20)}) AS width FROM bars), g AS (SELECT symbol, ts, width, quantile_cont(width, 0.5) OVER {W(60)} AS usual, count(width) OVER {W(60)} AS n FROM f) SELECT symbol, ts, CASE WHEN n >= 20 THEN width / NULLIF(usual, 0) END AS width_ratio FROM g")
+def feature_width_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Band width against its trailing median, which needs a third of its window."""
+    d = daily(spark, sf).select("symbol", "ts", (4 * ft.std(F.col("close"), 20)).alias("width"))
+    w = ft.last(60)
+    return d.select("symbol", "ts", F.when(F.count("width").over(w) >= 20, F.try_divide("width", F.nullif(F.percentile("width", 0.5).over(w), F.lit(0.0)))).alias("width_ratio"))
+
+
+@R.query(D + f", a AS (SELECT symbol, ts, list(close) OVER {W(64)} AS c FROM bars), d AS (SELECT symbol, ts, [c[i + 1] - c[i] for i in range(1, len(c))] AS d FROM a), g AS (SELECT symbol, ts, len(d) AS n, list_reduce([greatest(x, 0.0) for x in d], lambda v, x: v + {1 / 14} * (x - v), 0.0) AS gain, list_reduce([greatest(-x, 0.0) for x in d], lambda v, x: v + {1 / 14} * (x - v), 0.0) AS loss FROM d) SELECT symbol, ts, CASE WHEN n >= 13 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / loss) END END AS rsi_zero FROM g")
+def feature_rsi_zero_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily(spark, sf).withColumn("c", ft.window_array(F.col("close"), 64))
+    return d.select("symbol", "ts", ft.zero_seeded_rsi(F.col("c"), 14).alias("rsi_zero"))
+
+
+@R.query(D + f", m AS (SELECT symbol, ts, close - lag(close) {LAG} AS ret FROM bars), a AS (SELECT symbol, ts, list(ret) OVER {W(90)} AS xs FROM m WHERE ret IS NOT NULL), s AS (SELECT symbol, ts, len(xs) AS n, list_reduce([x * x for x in xs], lambda v, x: v * {0.5 ** (1 / 30)} + x, 0.0) AS s, list_reduce([1.0 for x in xs], lambda v, x: v * {0.5 ** (1 / 30)} + x, 0.0) AS w FROM a) SELECT symbol, ts, CASE WHEN n >= 60 THEN sqrt(s / w) END AS deviation FROM s")
+def feature_half_life_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily(spark, sf).select("symbol", "ts", (F.col("close") - F.lag("close").over(ft.order())).alias("ret")).where("ret IS NOT NULL")
+    return d.select("symbol", "ts", ft.half_life_deviation(ft.window_array(F.col("ret"), 90), 30.0, 60).alias("deviation"))

@@ -34,7 +34,9 @@ from barline.llm.components import components
 
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 13, 3, 9, 2
 HASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS
-BINS = 256
+BINS = 512
+#: Pairs that are compared at once, and rows of buckets that are looked at together.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 60_000, 4096
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 1024
 #: Bits of the map of wanted sets (16 MB), and digests that a task remembers to send a set once.
@@ -48,7 +50,7 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary()) if len(raw) else pa.array([], pa.binary())
 
 
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     """The rows of a binary column of equal widths as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1) if len(column) else np.zeros((0, 1), kind)
 
@@ -171,49 +173,56 @@ def _across(buckets: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int
         .sortWithinPartitions("key", "i", "j", "node")
     )
 
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, part, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
-        n, sketch = group.column("n_shingles").to_numpy(), _matrix(group.column("sketch").combine_chunks(), "u1")
-        left, right = group_keys(_matrix(group.column("signature").combine_chunks(), "<u2"))
-        key, same_block = group.column("key")[0].as_py(), group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        keys = sh.mix(left[:, :, None] * np.uint64(3) + right[:, None, :]).view(np.int64)
+    columns = ("key", "i", "j", "own", "node", "component", "n_shingles")
+
+    def compare(flat: dict[str, np.ndarray], signature: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Possible pairs of whole groups of (key, i, j), which lie one after the other."""
+        key, i, j, own, node, part, n = (flat[c] for c in columns)
+        rows = len(key)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        end = np.append(np.flatnonzero(new)[1:], rows)[np.cumsum(new) - 1]
+        left, right = group_keys(signature)
+        partners = end - 1 - np.arange(rows)
+        before = np.concatenate([[0], np.cumsum(partners)])
         us, vs = [], []
-        for x in range(len(node) - 1):
-            y = np.arange(x + 1, len(node))
-            y = y[(part[y] != part[x]) & (same_block | (own[y] != own[x])) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if not len(y):
-                continue
-            y = y[sh.may_link(sketch[y], n[y], sketch[x][None, :], n[x], percent)]
-            if not len(y):
-                continue
-            l, r = (left[y] == left[x]).argmax(axis=1), (right[y] == right[x]).argmax(axis=1)
-            y = y[keys[x][l, r] == key]
-            us.append(np.full(len(y), node[x]))
-            vs.append(node[y])
-        return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        low = 0
+        while low < rows:
+            high = max(low + 1, int(np.searchsorted(before, before[low] + PAIRS_AT_ONCE, "right")) - 1)
+            count = partners[low:high]
+            x = np.repeat(np.arange(low, high), count)
+            y = x + 1 + np.arange(len(x)) - np.repeat(before[low:high] - before[low], count)
+            low = high
+            ok = (part[x] != part[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            # The first table that both share, so that a pair is looked at once.
+            l, r = (left[x] == left[y]).argmax(axis=1), (right[x] == right[y]).argmax(axis=1)
+            ok = sh.mix(left[x, l] * np.uint64(3) + right[x, r]).view(np.int64) == key[x]
+            x, y = x[ok], y[ok]
+            ok = sh.may_link(sketch[x], n[x], sketch[y], n[y], percent) if len(x) else np.zeros(0, bool)
+            us.append(node[x[ok]])
+            vs.append(node[y[ok]])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Streams over groups of (key, i, j), each of at most about two blocks."""
-        held: list[pa.Table] = []
+        """Streams; a group has at most about two blocks, so what is held is bounded."""
+        held: list[pa.RecordBatch] = []
 
         def give(table: pa.Table) -> pa.RecordBatch:
-            u, v = compare(table)
-            return pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+            u, v = compare({c: table.column(c).to_numpy() for c in columns}, _matrix(table.column("signature"), "<u2"), _matrix(table.column("sketch"), "u1"))
+            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(k)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = table.slice(a, b - a)
-                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "i", "j")):
-                    yield give(pa.concat_tables(held))
-                    held = []
-                held.append(part)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                held.append(batch.slice(at, ROWS_AT_ONCE))
+                table = pa.Table.from_batches(held)
+                k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+                cut = int(np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))[-1])
+                if cut:
+                    yield give(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
         if held:
-            yield give(pa.concat_tables(held))
+            yield give(pa.Table.from_batches(held))
 
     return dealt.mapInArrow(run, "u bigint, v bigint")
 

@@ -96,3 +96,42 @@ def scalar_strings(spark: SparkSession, sf: str) -> DataFrame:
     """File names, digests and patterns of names."""
     n = F.col("n_name")
     return m.read(spark, sf, "nation").select(F.concat(m.safe_name(n), F.lit("_1d")).alias("file"), F.sha2(n, 256).alias("digest"), n.like("A%").alias("starts_a"), n.rlike("^[A-Z ]+$").alias("plain"))
+
+
+@R.query(MOVES + """, d AS (SELECT symbol, ts, ret, CASE WHEN dayofweek(ts) = 1 THEN sign(sum(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) END AS decided FROM moves WHERE ret IS NOT NULL),
+k AS (SELECT symbol, ts, ret, last_value(decided IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS side FROM d),
+h AS (SELECT symbol, ts, ret, coalesce(lag(side) OVER (PARTITION BY symbol ORDER BY ts), 0) AS held FROM k), t AS (SELECT *, abs(held - coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS turned FROM h)
+SELECT symbol, sum(held * ret - 50 * turned) AS net, sum(turned) AS turnover, count(*) FILTER (held <> 0) AS n_held FROM t GROUP BY symbol""")
+def weekly_decided_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    """Sides decided on Mondays from sixty days, held from the next bar, with costs on turnover."""
+    d = moves(spark, sf).where("ret IS NOT NULL").withColumn("decided", F.when(F.dayofweek("ts") == 2, F.signum(F.sum("ret").over(ft.last(60)))))
+    k = d.withColumn("side", ft.fill_forward(F.col("decided")))
+    h = k.withColumn("held", F.coalesce(F.lag("side").over(ft.order()), F.lit(0.0)))
+    t = h.withColumn("turned", F.abs(F.col("held") - F.coalesce(F.lag("held").over(ft.order()), F.lit(0.0))))
+    return t.groupBy("symbol").agg(F.sum(F.col("held") * F.col("ret") - 50 * F.col("turned")).alias("net"), F.sum("turned").alias("turnover"), F.count_if(F.col("held") != 0).alias("n_held"))
+
+
+@R.query(D + ", p AS (SELECT symbol, ts, CASE WHEN close >= open THEN [open, low, high, close] ELSE [open, high, low, close] END AS path FROM bars) SELECT symbol, ts, generate_subscripts(path, 1) - 1 AS step, unnest(path) AS price FROM p")
+def intrabar_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The order in which a bar is taken to visit its prices: the near extreme of its direction last."""
+    up = F.array("open", "low", "high", "close")
+    path = F.when(F.col("close") >= F.col("open"), up).otherwise(F.array("open", "high", "low", "close"))
+    return m.daily_bars(spark, sf).select("symbol", "ts", F.posexplode(path).alias("step", "price")).withColumn("step", F.col("step").cast("bigint"))
+
+
+@R.query(CONFIG_SQL + ", t AS (SELECT config_id, sum(ret) AS total FROM returns GROUP BY config_id) SELECT quantile_cont(total, 0.5) AS median_total, count(*) FILTER (total > 0) / count(*) AS plateau_share, count(*) AS n_configs FROM t")
+def plateau_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Median of the configurations and the share of them that gain."""
+    t = config_returns(spark, sf).groupBy("config_id").agg(F.sum("ret").alias("total"))
+    return t.agg(F.percentile("total", 0.5).alias("median_total"), (F.count_if(F.col("total") > 0) / F.count("*")).alias("plateau_share"), F.count("*").alias("n_configs"))
+
+
+@R.query(CONFIG_SQL + """, y AS (SELECT config_id, year(obs_ix) AS year, sum(ret) AS ret FROM returns GROUP BY ALL), p AS (SELECT a.year, a.ret - b.ret AS d FROM y a JOIN y b USING (year) WHERE a.config_id = 0 AND b.config_id = 7), s AS (SELECT count(*) AS n, sum(d) AS s, sum(d * d) AS q FROM p)
+SELECT n, s / n AS mean_difference, n > 1 AND s > 0 AND s * s * (n - 1) > n * n * (q - s * s / n) AS decided FROM s""")
+def paired_decision(spark: SparkSession, sf: str) -> DataFrame:
+    """Two configurations matched by year: decided where the mean difference exceeds its sample deviation."""
+    y = config_returns(spark, sf).where("config_id IN (0, 7)").groupBy(F.year("obs_ix").alias("year")).agg(F.sum(F.when(F.col("config_id") == 0, F.col("ret"))).alias("a"), F.sum(F.when(F.col("config_id") == 7, F.col("ret"))).alias("b"))
+    d = F.col("a") - F.col("b")
+    s = y.where("a IS NOT NULL AND b IS NOT NULL").agg(F.count("*").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+    n, t, q = F.col("n"), F.col("s"), F.col("q")
+    return s.select("n", (t / n).alias("mean_difference"), ((n > 1) & (t > 0) & (t * t * (n - 1) > n * n * (q - t * t / n))).alias("decided"))

@@ -127,7 +127,7 @@ def test_banded_distance_and_keys():
             assert set(ld.keys_of(s, 2)[0]) & set(ld.keys_of(t, 2)[1])
 
 
-@pytest.mark.parametrize("block", [256, 2])
+@pytest.mark.parametrize("block", [1024, 2])
 def test_line_dedup_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ld, "BLOCK", block)
     r = random.Random(9)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import materialize, remove_path
 
+#: Links that one task writes, about: a few links make a few files, however many partitions a shuffle has.
+EDGES_A_TASK = 200_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Links the neighbours of each node (larger ones, or smaller ones and itself) to the least of them and itself."""
@@ -26,10 +29,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregated before the shuffle for their least node.
     """
     now, path = materialize(edges.select("u", "v").where("u <> v").distinct(), "stars")
-    before = None
+    before, tasks = None, max(1, -(-now.count() // EDGES_A_TASK))
     for _ in range(most_rounds):
-        now_large = _stars(now, True).where("u <> v").distinct()
-        after, new_path = materialize(_stars(now_large, False).where("u <> v").distinct(), "stars")
+        now_large = _stars(now, True).where("u <> v")  # repeats of a link go with the small stars' distinct
+        after, new_path = materialize(_stars(now_large, False).where("u <> v").distinct().coalesce(tasks), "stars")
         # Settled once each node has one link, to a node that has no smaller one.
         said = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         remove_path(edges.sparkSession, path)

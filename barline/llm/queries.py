@@ -98,7 +98,8 @@ def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity_chain.ToxicityChain:
     ids, texts, toxic = fit_texts(docs, labels, "toxic", held_out=False)
-    return toxicity_chain.fit_chain(texts, toxicity_chain.mine_categories(texts, toxic), keys=ids)
+    data = toxicity_chain.index_features(texts)
+    return toxicity_chain.fit_chain(data, toxicity_chain.mine_categories(data, toxic), keys=ids)
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ share of positives in training; no rows at all predict 0 everywhere.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +34,30 @@ def features(text: str | None) -> set[bytes]:
     return words | {STEM + w[:STEM_LENGTH] for w in words if len(w) > STEM_LENGTH}
 
 
+@dataclass
+class IndexedFeatures:
+    """Features of texts as numbers: ``columns[i]`` is set in text ``owner[i]``; names are in order."""
+
+    names: list[bytes]
+    owner: np.ndarray
+    columns: np.ndarray
+    rows: int
+
+
+def index_features(texts: list[str | None]) -> IndexedFeatures:
+    """Text by text, so that the words of one text alone are held as objects beside the vocabulary."""
+    number: dict[bytes, int] = {}
+    parts = []
+    for t in texts:
+        found = features(t)
+        parts.append(np.fromiter((number.setdefault(f, len(number)) for f in found), np.int32, len(found)))
+    names = sorted(number)
+    place = np.empty(len(names), np.int32)
+    place[np.fromiter((number[f] for f in names), np.int64, len(names))] = np.arange(len(names), dtype=np.int32)
+    columns = np.concatenate([np.sort(place[p]) for p in parts]) if parts else np.zeros(0, np.int32)
+    return IndexedFeatures(names, np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), columns, len(parts))
+
+
 def sparse_logistic(owner: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, most: int, epochs: int = 120, rate: float = 0.3, l2: float = 1e-4) -> np.ndarray:
     """Logistic regression on binary sparse rows, dense columns and a bias.
 
@@ -93,21 +116,19 @@ class ToxicityChain:
         return out
 
 
-def fit_chain(texts: list[str | None], labels: dict[str, list[int]], folds: int = 3, min_rows: int = 3, max_features: int = 2000, keys: list[object] | None = None) -> ToxicityChain:
+def fit_chain(texts: list[str | None] | IndexedFeatures, labels: dict[str, list[int]], folds: int = 3, min_rows: int = 3, max_features: int = 2000, keys: list[object] | None = None) -> ToxicityChain:
     """Trains the categories in the order of ``labels``.
 
     ``max_features`` bounds the features of each model, chosen on its own
     training rows; ``keys`` deal rows to folds.
     """
-    found = [features(t) for t in texts]
+    data = texts if isinstance(texts, IndexedFeatures) else index_features(texts)
     targets = {k: np.asarray(v, float) for k, v in labels.items()}
-    n = len(found)
-    counts = Counter(f for fs in found for f in fs)
-    names = sorted(f for f, c in counts.items() if c >= min_rows)
-    number = {f: i for i, f in enumerate(names)}
-    rows = [[number[f] for f in fs if f in number] for fs in found]
-    owner = np.repeat(np.arange(n), [len(r) for r in rows]).astype(np.int64)
-    columns = np.array([i for r in rows for i in r], dtype=np.int64)
+    n = data.rows
+    often = np.bincount(data.columns, minlength=len(data.names)) >= min_rows
+    names = [f for f, k in zip(data.names, often.tolist(), strict=True) if k]
+    inside = often[data.columns]
+    owner, columns = data.owner[inside].astype(np.int64), (np.cumsum(often) - 1)[data.columns[inside]]
     fold = np.array([zlib.crc32(repr(k).encode()) % folds for k in (keys if keys is not None else range(n))], dtype=np.int64)
     chain, before, matrix = ToxicityChain(list(targets)), np.zeros((n, 0)), []
     for y in targets.values():
@@ -134,11 +155,11 @@ def fit_chain(texts: list[str | None], labels: dict[str, list[int]], folds: int
         chain.biases.append(float(w[-1]))
         before = np.hstack([before, out_of_fold[:, None]])
     stacked = np.array(matrix).T if matrix else np.zeros((0, 0))
-    chain.weights = {f: [float(v) for v in stacked[i]] for f, i in number.items() if np.abs(stacked[i]).max() > 1e-4}
+    chain.weights = {f: [float(v) for v in stacked[i]] for i, f in enumerate(names) if np.abs(stacked[i]).max() > 1e-4}
     return chain
 
 
-def mine_categories(texts: list[str | None], toxic: list[int], most: int = 4, min_rows: int = 3, purity: float = 0.9) -> dict[str, list[int]]:
+def mine_categories(texts: list[str | None] | IndexedFeatures, toxic: list[int], most: int = 4, min_rows: int = 3, purity: float = 0.9) -> dict[str, list[int]]:
     """Splits one toxic label into categories by the vocabulary of its rows.
 
     Features that occur (almost) in toxic rows alone join the first group with
@@ -146,22 +167,25 @@ def mine_categories(texts: list[str | None], toxic: list[int], most: int = 4, mi
     most rows is a category: toxic rows that hold one of its features. The
     label itself comes last, as the chain's verdict.
     """
-    found = [features(t) for t in texts]
-    everywhere, where = Counter(f for fs in found for f in fs), {}
-    for i, (fs, y) in enumerate(zip(found, toxic, strict=True)):
-        if y == 1:
-            for f in fs:
-                where.setdefault(f, set()).add(i)
-    pure = sorted((f for f, s in where.items() if len(s) >= min_rows and len(s) >= purity * everywhere[f]), key=lambda f: (-len(where[f]), f))
+    data = texts if isinstance(texts, IndexedFeatures) else index_features(texts)
+    y = np.asarray(toxic, bool)
+    everywhere = np.bincount(data.columns, minlength=len(data.names))
+    among = np.bincount(data.columns[y[data.owner]], minlength=len(data.names)) if data.rows else everywhere
+    pure = np.flatnonzero((among >= min_rows) & (among >= purity * everywhere))
+    pure = pure[np.lexsort((pure, -among[pure]))][:2000].tolist()
+    where: dict[int, set[int]] = {f: set() for f in pure}
+    mine = np.isin(data.columns, pure) & y[data.owner] if data.rows else np.zeros(0, bool)
+    for i, f in zip(data.owner[mine].tolist(), data.columns[mine].tolist(), strict=True):
+        where[f].add(i)
     groups: list[set[int]] = []
-    for f in pure[:2000]:
+    for f in pure:
         best = max(groups, key=lambda g: len(g & where[f]), default=None)
         if best is not None and 2 * len(best & where[f]) >= len(where[f]):
             best |= where[f]
         else:
             groups.append(set(where[f]))
     groups = sorted(groups, key=lambda g: (-len(g), min(g)))[:most]
-    return {f"category_{k + 1}": [int(i in g) for i in range(len(found))] for k, g in enumerate(groups)} | {"toxic": [int(y) for y in toxic]}
+    return {f"category_{k + 1}": [int(i in g) for i in range(data.rows)] for k, g in enumerate(groups)} | {"toxic": [int(y) for y in toxic]}
 
 
 def score(df: DataFrame, chain: ToxicityChain, text_column: str, keep: list[str]) -> DataFrame:

@@ -166,6 +166,66 @@ def test_line_dedup_brute_force(spark, monkeypatch, block):
         assert (got[i].text or "") == "\n".join(kept), i
 
 
+def brute_dedup(texts, least, linked):
+    """Texts without later lines of a class; ``least``: characters of a line that takes part."""
+    distinct = sorted({x for t in texts for x in (t or "").split("\n") if len(x) >= least})
+    root, known, out = {x: x for x in distinct}, {}, []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if linked(x, y):
+                root[find(x)] = find(y)
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        out.append("\n".join(x for x in lines if x not in root or known.setdefault(find(x), (i, x)) == (i, x) and lines.count(x) == 1))
+    return out
+
+
+def edited(line, r, most):
+    """``line`` with about ``most`` characters changed, by words or by single characters."""
+    out = list(line)
+    while most > 0:
+        n = r.choice([1, 1, min(4, most)])
+        i = r.randrange(len(out) - n)
+        out[i : i + n] = r.choice([[], [r.choice("xyzé ") for _ in range(n)]])
+        most -= n
+    return "".join(out)
+
+
+def test_long_lines_brute_force(spark):
+    r = random.Random(4)
+    lines = []
+    for words in (16, 20, 24, 25, 26, 30, 60, 75, 110, 220):  # of 4 characters: both sides of LONG, and lines that share 51 words and more
+        base = prose(words, r)
+        lines += [base, *(edited(base, r, round(len(base) * share)) for share in (0.02, 0.03, 0.045, 0.05, 0.07))]
+    passage = prose(55, r)
+    lines += [f"{passage} {prose(12, r)}", f"{passage} {prose(12, r)}", f"{passage[:-3]}{passage[-1]}"]
+    dashes = ["-" * 150, "-" * 152, "-" * 70 + "=" + "-" * 80]  # no anchors
+    lines += dashes
+    r.shuffle(lines)
+    assert len(set(lines)) == len(lines)
+    most = lambda x, y: max(2, min(len(x), len(y)) // 20)
+    linked = lambda x, y: abs(len(x) - len(y)) <= most(x, y) and distance(x, y) <= most(x, y)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    got = {row.doc_id: row.text for row in ld.dedup_lines(df).collect()}
+    assert [got[i] for i in range(len(lines))] == brute_dedup(lines, 40, linked)
+    assert 10 < sum(not got[i] for i in got) < len(lines) - 10
+
+
+def test_edits_within():
+    r = random.Random(6)
+    for _ in range(400):
+        x = "".join(r.choice("abé") for _ in range(r.randint(0, 90)))
+        y = edited(x, r, r.randint(0, 9)) if len(x) > 8 else x + "b"
+        d = distance(x, y)
+        assert [ld.edits_within(x, y, k) for k in range(14)] == [d <= k for k in range(14)]
+
+
 def test_line_dedup_edges(spark):
     line = prose(20, random.Random(1))
     rows = [(1, line), (1, line), (2, line), (None, line), (3, None)]

@@ -81,7 +81,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     least = F.least("doc_id", F.array_min("__first_docs"))
     return done.select("doc_id", least.alias("class_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_links").alias("n_links"), F.col("__first_docs").alias("first_docs"), F.crc32(F.coalesce("text", F.lit(""))).alias("kept_text_crc32"))
 

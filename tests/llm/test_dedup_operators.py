@@ -217,6 +217,23 @@ def test_long_lines_brute_force(spark):
     assert 10 < sum(not got[i] for i in got) < len(lines) - 10
 
 
+def test_short_lines(spark):
+    line = prose(20, random.Random(8))
+    texts = [f"All rights reserved.\n{line}\n\n", f"other\nAll rights reserved.\n \n{line}", "All rights reserved!\n\n ", "All rights reserved.", None, "other\nother"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {row.doc_id: row for row in ld.dedup_lines(df, short_lines=True).collect()}
+    assert [got[i].text for i in range(6)] == [texts[0], "other\n ", texts[2], "", None, ""]
+    assert [got[i]["__n_dropped"] for i in range(6)] == [0, 2, 0, 1, 0, 2] and not any(got[i]["__n_links"] for i in got)
+    assert list(got[1]["__first_docs"]) == [0] and list(got[5]["__first_docs"]) == [1]
+
+
+def test_op7_drops_short_lines(spark, tmp_path):
+    from barline.llm.queries import op7_line_edit_dedup
+
+    spark.createDataFrame([(i, "one line\nAll rights reserved." if i else "All rights reserved.") for i in range(3)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {row.doc_id: row.n_dropped for row in op7_line_edit_dedup(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 2}
+
+
 def test_edits_within():
     r = random.Random(6)
     for _ in range(400):

@@ -106,8 +106,8 @@ def by_hash_fraction(df: DataFrame, keys: list[str], limit: int, total: int) ->
     return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(span)) < int(span * limit / total))
 
 
-def labelled(labels: DataFrame, column: str, limit: int, where: Column | None = None) -> DataFrame:
-    """One 0/1 label a document id, at most about ``limit`` of them, by hash.
+def labelled(labels: DataFrame, column: str, limit: int | None = None, where: Column | None = None) -> DataFrame:
+    """One 0/1 label a document id, at most about ``limit`` of them, by hash; all without a limit.
 
     Null ids and labels other than 0 and 1 are left out; of labels that
     contradict each other for an id, the larger one holds.
@@ -116,7 +116,7 @@ def labelled(labels: DataFrame, column: str, limit: int, where: Column | None =
     if where is not None:
         rows = rows.where(where)
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return by_hash_fraction(rows, ["doc_id"], limit, rows.count())
+    return rows if limit is None else by_hash_fraction(rows, ["doc_id"], limit, rows.count())
 
 
 def identifier(name: str) -> str:

@@ -71,8 +71,7 @@ def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = labels.select("doc_id", F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
-    sample = labelled(bad, "bad", 100_000)
-    rows = pages.select(F.col("page_id").alias("doc_id"), "url").join(sample, "doc_id").select("url", "label")
+    rows = pages.select(F.col("page_id").alias("doc_id"), "url").join(labelled(bad, "bad"), "doc_id").select("url", "label")
     return url_rules.judge(pages, url_rules.mine_rules(rows), URL_RULES)
 
 

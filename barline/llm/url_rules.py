@@ -53,7 +53,7 @@ def token_column(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.5, min_lift: float = 2.0, max_tokens: int = 3, min_rows: int = 5) -> DataFrame:
     """Rules (rule_id, tokens, support, confidence, lift) from url and label (1 is bad).
 
-    The caller bounds ``labelled``. FP-growth counts token sets; the confidence of
+    FP-growth is distributed, so all labelled rows may come. It counts token sets; the confidence of
     a set is the count with the label over the count without it.
     """
     items = labelled.select(token_column(F.col("url")).alias("tokens"), (F.col("label") == 1).alias("bad")).where(F.size("tokens") > 0)

@@ -6,14 +6,17 @@ benchmark items; documents whose hashes meet a benchmark's are aligned with that
 item at the hit, and the alignment is verified: some WINDOW consecutive words of
 the item (all of a shorter item) must agree with the document but for at most
 ``substitutions`` words. The first of MASKS
-alone hits every window of 13 with two substitutions; the second finds more of shorter items.
+alone hits every window of 13 with two substitutions. Items shorter than a window
+have whole runs of words besides: as many equal parts as substitutions and one more,
+of which one is always intact; those below WHOLE words, whose parts would say
+little, are one part and must agree in all words. Documents are looked through for
+runs of the lengths that such items have, if any.
 
 Hashes of the benchmark are distinct values; they are broadcast up to BROADCAST_ROWS,
 beyond that both sides are shuffled by hash. Only texts with hits are read again.
 
 Words: letters and digits, lower-cased. Defined results: null and empty texts and
-items have no words and never agree; items shorter than a mask's span are found
-by no mask; repeated rows are judged each for itself.
+items have no words and never agree; repeated rows are judged each for itself.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from barline.llm.common import materialize
 #: The looked-at places of each mask.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 4, 7))
 WINDOW, SUBSTITUTIONS = 13, 2
+#: Items of fewer words are found as a whole alone.
+WHOLE = 8
 #: Rows of 8 to 40 bytes that are broadcast at most; their count is taken first.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,6 +63,25 @@ def _positions(df: DataFrame, keys: list[str], text: str, masks: tuple[tuple[int
     return seeds.select(*keys, F.posexplode("h").alias("position", "hash"))
 
 
+def _part_words(n: Column, substitutions: int) -> Column:
+    """Words of each part of an item of ``n`` words, fewer than a window."""
+    return F.when(n < max(WHOLE, substitutions + 1), n).otherwise(F.floor(n / (substitutions + 1))).cast("int")
+
+
+def _item_positions(items: DataFrame, window: int, substitutions: int, masks: tuple[tuple[int, ...], ...]) -> tuple[DataFrame, tuple[tuple[int, ...], ...]]:
+    """item_id, position, hash of each seed of each item, and ``masks`` with those of short items behind them."""
+    sized = items.select("item_id", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    n = F.size("w")
+    part = F.when(n.between(1, window - 1), _part_words(n, substitutions))
+    # Lengths of parts lie below a window's: a few values.
+    lengths = sorted(r[0] for r in sized.select(part.alias("part")).where("part IS NOT NULL").distinct().collect())
+    every = masks + tuple(tuple(range(k)) for k in lengths)
+    seeds = sized.select("item_id", n.alias("n"), part.alias("part"), F.posexplode(seed_hashes("w", every)).alias("mask", "h")).select("item_id", "n", "part", "mask", F.posexplode("h").alias("position", "hash"))
+    own = F.get(F.array(*[F.lit(k) for k in (*[0] * len(masks), *lengths)]), F.col("mask"))
+    wanted = (F.col("mask") < len(masks)) | ((own == F.col("part")) & (F.col("position") % F.col("part") == 0))
+    return seeds.where(wanted).select("item_id", "position", "hash"), every
+
+
 def keyed_texts(docs: DataFrame, text_column: str) -> DataFrame:
     """``docs`` with __k1 and __k2, two hashes of the whole text: equal texts share them, so copies are verified once."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -68,7 +92,8 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substi
     """k1, k2, item_ids (ascending), most_words of each distinct contaminated text."""
     keyed = keyed_texts(docs.select(text_column), text_column).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    item_seeds, _ = materialize(_positions(items, ["item_id"], "text", masks).select("item_id", F.col("position").alias("item_position"), "hash"), "item-seeds")
+    seeds, masks = _item_positions(items, window, substitutions, masks)
+    item_seeds, _ = materialize(seeds.select("item_id", F.col("position").alias("item_position"), "hash"), "item-seeds")
     hashes = checked_broadcast(item_seeds.select("hash").distinct())
     hits, _ = materialize(_positions(keyed, ["k1", "k2"], "text", masks).join(hashes, "hash", "left_semi").distinct(), "hits")
     aligned, _ = materialize(hits.join(item_seeds, "hash").select("k1", "k2", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).distinct(), "aligned")
@@ -83,7 +108,8 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substi
     sums = F.aggregate("same", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     span = F.least(F.lit(window), F.size("same"))
     most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - span), lambda i: F.get(F.col("sums"), i + span) - F.get(F.col("sums"), i)))
-    found = lined.withColumn("sums", sums).select("k1", "k2", "item_id", most.alias("words"), span.alias("span")).where(F.col("words") >= F.col("span") - F.lit(substitutions))
+    spared = F.when(F.col("span") < min(max(WHOLE, substitutions + 1), window), F.lit(0)).otherwise(F.lit(substitutions))
+    found = lined.withColumn("sums", sums).select("k1", "k2", "item_id", most.alias("words"), span.alias("span")).where(F.col("words") >= F.col("span") - spared)
     return materialize(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("words").alias("most_words")), "verdict")[0]
 
 

@@ -294,6 +294,33 @@ def test_decontamination_brute_force(spark):
     assert dc.decontaminate(df, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_short_items(spark):
+    r = random.Random(12)
+    items = [prose(n, r) for n in (*range(1, 15), 8, 8, 9, 10, 11, 12)]
+    texts = []
+    for item in items:
+        words = item.split()
+        for changes in ([], [0], [len(words) - 1], [0, len(words) // 2], *[r.sample(range(len(words)), min(k, len(words))) for k in (1, 2, 2, 2, 3)]):
+            w = list(words)
+            for i in changes:
+                w[i] = "zzz"
+            texts.append(f"{prose(r.randint(0, 9), r)} {' '.join(w)} {prose(r.randint(0, 9), r)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    out = {row.doc_id: list(row["item_ids"]) for row in dc.decontaminate(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+
+    def hits(text, item):
+        w, words = item.split(), text.split()
+        span = min(13, len(w))
+        for shift in range(-len(w), len(words)):
+            same = [0 <= shift + k < len(words) and words[shift + k] == x for k, x in enumerate(w)]
+            if any(sum(same[k : k + span]) >= span - (2 if span >= 8 else 0) for k in range(len(w) - span + 1)):
+                return True
+        return False
+
+    for i, t in enumerate(texts):
+        assert out[i] == [k for k, item in enumerate(items) if hits(t, item)], (i, t)
+
+
 def test_shuffled_join_agrees(spark, monkeypatch):
     r = random.Random(5)
     items = [prose(20, r) for _ in range(5)]

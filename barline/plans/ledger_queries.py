@@ -73,7 +73,12 @@ def ledger_archive(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("""WITH c AS (SELECT c_nationkey AS campaign_id, o_orderkey AS claim_id, year(o_orderdate) * 12 + month(o_orderdate) AS first_month, year(o_orderdate) * 12 + month(o_orderdate) + 1 + o_orderkey % 3 AS end_month FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P')
 SELECT a.campaign_id, a.claim_id AS a, b.claim_id AS b, least(a.end_month, b.end_month) - greatest(a.first_month, b.first_month) AS n_months FROM c a JOIN c b ON a.campaign_id = b.campaign_id AND a.claim_id < b.claim_id AND a.first_month < b.end_month AND b.first_month < a.end_month""")
 def ledger_claim_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlapping holdout claims of a campaign."""
+    """Overlapping holdout claims of a campaign.
+
+    An order is a claim while it is in progress (status P: begun and not done), as
+    the SQL beside it says; open ones (O) hold no months yet, finished ones (F) hold
+    none any more.
+    """
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     c = m.read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("campaign_id"))
     o = m.read(spark, sf, "orders").where("o_orderstatus = 'P'").join(c, "o_custkey").select("campaign_id", F.col("o_orderkey").alias("claim_id"), month.cast("bigint").alias("first_month"), (month + 1 + F.col("o_orderkey") % 3).cast("bigint").alias("end_month"))

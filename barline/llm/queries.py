@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import best_fit_packing, chat_format, decontamination, line_dedup, minhash_dedup, quality_compression, quality_rules, text_statistics, token_files, toxicity_chain, url_rules
-from barline.llm.common import labelled, scratch_path, table
+from barline.llm.common import labelled, materialize, scratch_path, table
+from barline.llm.components import components
 
 #: Labelled rows that a model is fitted on, at most about (by hash of the id).
 FIT_ROWS = 6000
@@ -81,8 +82,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
-    least = F.least("doc_id", F.array_min("__first_docs"))
-    return done.select("doc_id", least.alias("class_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_links").alias("n_links"), F.col("__first_docs").alias("first_docs"), F.crc32(F.coalesce("text", F.lit(""))).alias("kept_text_crc32"))
+    done, _ = materialize(done.withColumn("text", F.crc32(F.coalesce("text", F.lit("")))), "deduped")
+    done = done.withColumn("__least", F.least("doc_id", F.array_min("__first_docs")))
+    # Documents that share lines are chained: a document's class is its component's least id.
+    classes = components(done.select(F.col("doc_id").cast("bigint").alias("u"), F.explode("__first_docs").alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
+    done = done.join(classes, F.col("__least") == F.col("node"), "left")
+    return done.select("doc_id", F.coalesce("component", "__least").alias("class_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_links").alias("n_links"), F.col("__first_docs").alias("first_docs"), F.col("text").alias("kept_text_crc32"))
 
 
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

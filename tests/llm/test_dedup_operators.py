@@ -119,14 +119,34 @@ def test_banded_distance_and_keys():
             y[i : i + r.randint(0, 1)] = [r.choice("abc")] * r.randint(0, 1)
         a.append(x)
         b.append("".join(y))
+    exact = np.array([distance(x, y) for x, y in zip(a, b)])
     for k in range(4):
-        assert (ld.within(a, b, k) == np.array([distance(x, y) <= k for x, y in zip(a, b)])).all()
+        assert (ld.within(a, b, np.full(len(a), k)) == (exact <= k)).all()
     for x, y in zip(a, b):
         if x != y and min(len(x), len(y)) >= 6 and distance(x, y) <= 2:
             s, t = sorted((x, y), key=len)
             assert set(ld.keys_of(s, 2)[0]) & set(ld.keys_of(t, 2)[1])
 
 
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_bands_of_several_words(words):
+    r = random.Random(words)
+    a, b = [], []
+    for _ in range(150):
+        x = "".join(r.choice("abcdé") for _ in range(r.choice([0, 1, 20, 31, 32, 33, 63, 64, 65, 100, 160])))
+        y = list(x)
+        for _ in range(r.choice([0, 1, 5, 20, 31, 33, 64, 70])):
+            i = r.randint(0, len(y))
+            y[i : i + r.randint(0, 1)] = [r.choice("abcf")] * r.randint(0, 1)
+        a.append(x)
+        b.append("".join(y))
+    exact = np.array([distance(x, y) for x, y in zip(a, b)])
+    for off in (-1, 0, 1, 7):
+        most = np.clip(exact + off, 0, 32 * words - 1)
+        assert (ld.within(a, b, most, words) == (exact <= most)).all()
+    assert ld.linked(a, b, 2).tolist() == [d <= ld.allowed(min(len(x), len(y)), 2) for x, y, d in zip(a, b, exact.tolist())]
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_line_dedup_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ld, "BLOCK", block)

@@ -163,11 +163,43 @@ def yearly_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return y.pivot("flag", ["a", "n", "r"]).agg(F.sum("ret"))
 
 
-@R.query(None)
+#: One step of an account for each bar; the same rules as the replay, bar by bar.
+REPLAY_RULES = rp.Account(hold=20, lot=0.001)
+_L = lambda x: f"CASE WHEN {x} > 0 THEN floor(({x}) / {REPLAY_RULES.lot} + 1e-9) * {REPLAY_RULES.lot} ELSE 0.0 END"
+REPLAY_SQL = D.replace("WITH", "WITH RECURSIVE", 1) + f""", w AS (SELECT symbol, ts, open, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ix, count(*) OVER (PARTITION BY symbol) AS n, 2 * ({STD('close', 20)}) AS d, {', '.join(f"{SMA('close', k)} AS m{k}" for k in sorted({x for c in CONFIGS for x in c}))} FROM bars),
+x AS (SELECT *, {', '.join(f"coalesce(lag(m{a}) OVER (PARTITION BY symbol ORDER BY ts) <= lag(m{b}) OVER (PARTITION BY symbol ORDER BY ts) AND m{a} > m{b}, false) AND coalesce(d > 0, false) AS hit{i}" for i, (a, b) in enumerate(CONFIGS))} FROM w),
+s AS (SELECT symbol, ix, n, open, high, low, close, d, unnest([{', '.join(f"{{'config_id': {i}::BIGINT, 'hit': hit{i}}}" for i in range(len(CONFIGS)))}], recursive := true) FROM x),
+go AS (
+ SELECT symbol, config_id, -1::BIGINT AS ix, {REPLAY_RULES.cash}::DOUBLE AS cash, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS stop, 0.0::DOUBLE AS target, 0::BIGINT AS opened, 0.0::DOUBLE AS paid, NULL::DOUBLE AS p_stop, NULL::DOUBLE AS p_target, false AS p_timeout, 0::BIGINT AS denied, 0::BIGINT AS ambiguous, {REPLAY_RULES.cash}::DOUBLE AS equity, 0.0::DOUBLE AS turned, NULL::VARCHAR AS outcome, NULL::DOUBLE AS price, 0.0::DOUBLE AS sold, 0::BIGINT AS entry_ix, 0.0::DOUBLE AS entry_price FROM (SELECT DISTINCT symbol, config_id FROM s)
+ UNION ALL
+ SELECT symbol, config_id, ix, cash4, qty4, stop3, target3, opened3, paid3,
+   CASE WHEN qty4 = 0 AND hit AND ix + 1 < n THEN close - d END, CASE WHEN qty4 = 0 AND hit AND ix + 1 < n THEN close + 2 * d END, qty4 > 0 AND ix - opened3 + 1 >= {REPLAY_RULES.hold} AND ix + 1 < n,
+   denied3, ambiguous4, cash4 + qty4 * close, turned4, coalesce(outcome4, outcome2), coalesce(price4, price2), CASE WHEN outcome4 IS NOT NULL THEN qty3 ELSE sold2 END, CASE WHEN outcome4 IS NOT NULL THEN opened3 ELSE opened2 END, CASE WHEN outcome4 IS NOT NULL THEN paid3 ELSE paid2 END
+ FROM (SELECT *, CASE WHEN qty3 > 0 AND low <= stop3 THEN 'stop' WHEN qty3 > 0 AND high > target3 THEN 'target' END AS outcome4, CASE WHEN qty3 > 0 AND low <= stop3 THEN least(stop3, open) WHEN qty3 > 0 AND high > target3 THEN target3 END AS price4,
+   cash3 + coalesce(qty3 * price4 * (1 - {REPLAY_RULES.fee}), 0) AS cash4, CASE WHEN outcome4 IS NULL THEN qty3 ELSE 0.0 END AS qty4, ambiguous + (qty3 > 0 AND low <= stop3 AND high > target3)::BIGINT AS ambiguous4, turned3 + coalesce(qty3 * price4, 0) AS turned4
+  FROM (SELECT *, coalesce(p_stop > 0 AND p_stop < open AND open < p_target AND qty2 = 0, false) AS fits, CASE WHEN fits THEN least({_L(f'equity * {REPLAY_RULES.risk} / (open - p_stop)')}, {_L(f'cash2 / (open * (1 + {REPLAY_RULES.fee}))')}) ELSE 0.0 END AS bought,
+    CASE WHEN bought > 0 THEN bought ELSE qty2 END AS qty3, CASE WHEN bought > 0 THEN cash2 - bought * open * (1 + {REPLAY_RULES.fee}) ELSE cash2 END AS cash3, CASE WHEN bought > 0 THEN p_stop ELSE stop END AS stop3, CASE WHEN bought > 0 THEN p_target ELSE target END AS target3, CASE WHEN bought > 0 THEN ix ELSE opened END AS opened3, CASE WHEN bought > 0 THEN open ELSE paid END AS paid3, denied + (p_stop IS NOT NULL AND qty2 = 0 AND NOT bought > 0)::BIGINT AS denied3, turned2 + bought * open AS turned3
+   FROM (SELECT g.*, s.open, s.high, s.low, s.close, s.d, s.hit, s.n, s.ix AS ix_now, CASE WHEN g.p_timeout THEN g.cash + g.qty * s.open * (1 - {REPLAY_RULES.fee}) ELSE g.cash END AS cash2, CASE WHEN g.p_timeout THEN 0.0 ELSE g.qty END AS qty2, CASE WHEN g.p_timeout THEN 'timeout' END AS outcome2, CASE WHEN g.p_timeout THEN s.open END AS price2, g.qty AS sold2, g.opened AS opened2, g.paid AS paid2, g.turned + CASE WHEN g.p_timeout THEN g.qty * s.open ELSE 0.0 END AS turned2
+    FROM (SELECT * EXCLUDE (ix, outcome, price, sold, entry_ix, entry_price), ix + 1 AS ix FROM go) g JOIN s ON s.symbol = g.symbol AND s.config_id = g.config_id AND s.ix = g.ix))))"""
+
+
+def replayable(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily bars with a stop distance and the mean-crossing configurations that fire."""
+    c = F.col("close")
+    fired = F.array(*[F.when(ft.cross_up(ft.sma(c, a), ft.sma(c, b)), F.lit(i)) for i, (a, b) in enumerate(CONFIGS)])
+    return m.daily_bars(spark, sf).select("symbol", "ts", "open", "high", "low", "close", (2 * ft.std(c, 20)).alias("stop_distance"), F.array_compact(fired).alias("fired"))
+
+
+@R.query(REPLAY_SQL + """, k AS (SELECT *, max(equity) OVER (PARTITION BY symbol, config_id ORDER BY ix) AS peak, equity / lag(equity) OVER (PARTITION BY symbol, config_id ORDER BY ix) - 1 AS r FROM go WHERE ix >= 0)
+SELECT symbol, config_id, count(outcome) AS n_trades, count(*) FILTER (outcome = 'stop') AS n_stops, count(*) FILTER (outcome = 'target') AS n_targets, count(*) FILTER (outcome = 'timeout') AS n_timeouts, max(denied) AS n_denied, max(ambiguous) AS n_ambiguous,
+  coalesce(sum(ix - entry_ix + (outcome <> 'timeout')::BIGINT) FILTER (outcome IS NOT NULL), 0)::BIGINT AS bars_held, arg_max(equity, ix) AS final_equity, max(1 - equity / peak) AS max_drawdown, arg_max(turned, ix) AS turned, avg(equity) AS mean_equity,
+  coalesce(avg(r) / NULLIF(stddev_samp(r), 0) * sqrt(365.0), 0) AS sharpe, coalesce(avg(r) / NULLIF(sqrt(avg(least(r, 0) * least(r, 0)) FILTER (r IS NOT NULL)), 0) * sqrt(365.0), 0) AS sortino FROM k GROUP BY symbol, config_id""")
 def replay_grid(spark: SparkSession, sf: str) -> DataFrame:
     """A grid of mean-crossing rules replayed as accounts of one position each."""
-    c = F.col("close")
-    d = m.daily_bars(spark, sf)
-    wide = d.select("symbol", "ts", "open", "high", "low", "close", (2 * ft.std(c, 20)).alias("stop_distance"), *[ft.cross_up(ft.sma(c, a), ft.sma(c, b)).alias(str(i)) for i, (a, b) in enumerate(CONFIGS)])
-    long = wide.unpivot(["symbol", "ts", "open", "high", "low", "close", "stop_distance"], [str(i) for i in range(len(CONFIGS))], "config", "hit")
-    return rp.replay_grid(long.withColumn("config_id", F.col("config").cast("bigint")).drop("config"))
+    return rp.replay_grid(replayable(spark, sf), len(CONFIGS), REPLAY_RULES)
+
+
+@R.query(REPLAY_SQL + " SELECT symbol, config_id, entry_ix, ix AS exit_ix, entry_price, price AS exit_price, sold AS quantity, outcome FROM go WHERE outcome IS NOT NULL")
+def replay_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """The same accounts, trade by trade."""
+    return rp.replay_trades(replayable(spark, sf), len(CONFIGS), REPLAY_RULES)

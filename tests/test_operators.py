@@ -64,10 +64,40 @@ def test_bracket_stop_wins_ties_and_gaps_fill_at_the_open(spark):
     assert got == {0: ("stop", 8.0, 2), 1: ("stop", 6.0, 3), 2: ("stop", 6.0, 3)}
 
 
+def replayed(opens, highs, lows, closes, signals, **rules):
+    """One account over hand-made bars; ``signals``: bar to distances of stop and target."""
+    bars = {k: np.array(v, float) for k, v in {"open": opens, "high": highs, "low": lows, "close": closes}.items()}
+    stop, target = np.zeros(len(opens)), np.zeros(len(opens))
+    for i, (d, t) in signals.items():
+        stop[i], target[i] = d, t
+    return rp.replay(bars, np.array(sorted(signals), int), stop, target, rp.Account(**({"cash": 1000, "fee": 0.0, "lot": 1.0, "risk": 0.01} | rules)))
+
+
 def test_replay_matches_a_hand_made_account():
-    bars = {k: np.array(v, float) for k, v in {"open": [10, 10, 11, 12], "high": [10, 11, 14, 12], "low": [10, 9.5, 11, 12], "close": [10, 11, 13, 12]}.items()}
-    out = rp.replay(bars, np.array([True, False, False, False]), np.array([2.0, 0, 0, 0]), rp.Account(cash=1000, fee=0.0, lot=1.0, risk=0.01, ratio=1.5))
-    assert out["n_targets"] == 1 and out["final_equity"] == pytest.approx(1000 + 5 * 3)
+    run = replayed([10, 10, 11, 12], [10, 11, 14, 12], [10, 9.5, 11, 12], [10, 11, 13, 12], {0: (2.0, 3.0)})
+    assert run.trades == [(1, 2, 10.0, 13.0, 5.0, "target")] and run.equity.tolist() == [1000, 1005, 1015, 1015]
+
+
+def test_replay_gaps_denials_and_ties():
+    # The gap up at the entry makes the risk larger, so the quantity is what the open's distance allows.
+    assert replayed([10, 12, 12], [10, 12, 12], [10, 12, 12], [10, 12, 12], {0: (3.0, 9.0)}).trades == [] and replayed([10, 12, 12], [10, 12, 12], [10, 12, 12], [10, 12, 12], {0: (3.0, 9.0)}).equity[-1] == 1000
+    # Outside of stop and target at the open: denied, and counted.
+    for opening in (7.0, 6.0, 19.0, 20.0):
+        assert replayed([10, opening, 10], [10, 20, 10], [10, 5, 10], [10, 10, 10], {0: (3.0, 9.0)}).denied == 1
+    # A gap below the stop fills at the open; a gap above the target at the target; a touch of the target alone is none.
+    down = replayed([10, 10, 5, 5], [10, 10, 5, 5], [10, 10, 5, 5], [10, 10, 5, 5], {0: (2.0, 3.0)})
+    assert [(t[3], t[5]) for t in down.trades] == [(5.0, "stop")]
+    up = replayed([10, 10, 20, 20], [10, 10, 20, 20], [10, 10, 20, 20], [10, 10, 20, 20], {0: (2.0, 3.0)})
+    assert [(t[3], t[5]) for t in up.trades] == [(13.0, "target")]
+    assert replayed([10, 10, 12], [10, 13, 13], [10, 10, 12], [10, 12, 12], {0: (2.0, 3.0)}).trades == []
+    # Both in one bar: the stop, and the bar is ambiguous.
+    both = replayed([10, 10], [10, 14], [10, 7], [10, 10], {0: (2.0, 3.0)})
+    assert both.trades[0][5] == "stop" and both.ambiguous == 1
+    # After its last bar the next open ends a position, and that bar may signal again.
+    flat = [10.0] * 6
+    late = replayed(flat, flat, flat, flat, {0: (2.0, 3.0), 1: (2.0, 3.0), 3: (2.0, 3.0)}, hold=2)
+    assert [(t[0], t[1], t[5]) for t in late.trades] == [(1, 3, "timeout")] and late.equity[-1] == 1000
+    assert replayed(flat, flat, flat, flat, {5: (2.0, 3.0)}).trades == []  # no bar left to enter
 
 
 def test_statistics():

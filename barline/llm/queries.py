@@ -87,7 +87,7 @@ def op7_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Documents that share lines are chained: a document's class is its component's least id.
     classes = components(done.select(F.col("doc_id").cast("bigint").alias("u"), F.explode("__first_docs").alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
     done = done.join(classes, F.col("__least") == F.col("node"), "left")
-    return done.select("doc_id", F.coalesce("component", "__least").alias("class_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_links").alias("n_links"), F.col("__first_docs").alias("first_docs"), F.col("text").alias("kept_text_crc32"))
+    return done.select("doc_id", F.coalesce("component", "__least").alias("class_id"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__n_linked").alias("n_linked"), F.col("__first_docs").alias("first_docs"), F.col("text").alias("kept_text_crc32"))
 
 
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,7 +243,7 @@ def test_short_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {row.doc_id: row for row in ld.dedup_lines(df, short_lines=True).collect()}
     assert [got[i].text for i in range(6)] == [texts[0], "other\n ", texts[2], "", None, ""]
-    assert [got[i]["__n_dropped"] for i in range(6)] == [0, 2, 0, 1, 0, 2] and not any(got[i]["__n_links"] for i in got)
+    assert [got[i]["__n_dropped"] for i in range(6)] == [0, 2, 0, 1, 0, 2] and not any(got[i]["__n_linked"] for i in got)
     assert list(got[1]["__first_docs"]) == [0] and list(got[5]["__first_docs"]) == [1]
 
 

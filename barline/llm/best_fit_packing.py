@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import materialize
+from barline.llm.common import in_arrow, materialize
 from barline.llm.fast_tokens import encoder
 
 #: Pieces of one packer, about; a bound on memory, and large, as each packer ends with a bin that may stay open.
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col
                 yield from pa.table(data).to_batches()
 
     kind = next(f.dataType.simpleString() for f in source.schema if f.name == "doc_id")
-    return source.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    return in_arrow(source, run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids, encodes=True)
 
 
 def pack(pieces: DataFrame, size: int, packer_pieces: int = PACKER_PIECES) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import map_batches
+from barline.llm.common import in_arrow, map_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|im_")
@@ -150,7 +150,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield flush()
 
     kind = next(f.dataType.simpleString() for f in formatted.schema if f.name == "conv_id")
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return in_arrow(ordered, run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def assemble(formatted: DataFrame) -> DataFrame:

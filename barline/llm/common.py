@@ -7,10 +7,14 @@ other names (also names that an operator uses for its own results) never clash.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,22 +38,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local one is set.
+    Only where the session names none and runs on one machine (tests) a local one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths of the tables that each owner has written, and the owner of those written now.
+_OWNED: dict[str, list[str]] = {}
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder; it is removed when the driver ends."""
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _OWNER.get() is not None:
+        _OWNED.setdefault(_OWNER.get(), []).append(path)
     atexit.register(_remove_quietly, spark, path)
     return path
 
 
+@contextmanager
+def superseding(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Tables written inside belong to ``owner``; those that it wrote before are removed first: its last result is written elsewhere by now."""
+    for path in _OWNED.pop(owner, []):
+        _remove_quietly(spark, path)
+    token = _OWNER.set(owner)
+    try:
+        yield
+    finally:
+        _OWNER.reset(token)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -81,6 +106,29 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(low, SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def give_back() -> None:
+    """Returns what is free to the system: a Python worker lives on over many tasks, and other stages need its room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, encodes: bool = False) -> DataFrame:
+    """``mapInArrow`` whose workers keep nothing: the tokens that an earlier stage remembered go unless ``run`` encodes."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("barline.llm.fast_tokens")
+        if tokens is not None and not encodes:
+            tokens.forget()
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | dict], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
 
@@ -92,7 +140,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
             else:
                 yield from (out if isinstance(out, pa.Table) else pa.table(out)).to_batches()
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def by_hash_fraction(df: DataFrame, keys: list[str], limit: int, total: int) -> DataFrame:

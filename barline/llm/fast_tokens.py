@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 
 #: Chunks that one worker remembers at most, and bytes of text that are encoded at once.
-CACHE, AT_ONCE = 800_000, 8_000_000
+CACHE, AT_ONCE = 800_000, 4_000_000
 #: Characters beyond ASCII's six that some library counts as white space, and the mark that parts chunks here.
 _ODD = "\x00\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts in which a line end or blank stands beside another one, at an end, or other white space stands anywhere.
@@ -179,3 +179,8 @@ def encoder(source: str) -> CachedEncoder:
         _ENCODERS.clear()
         _ENCODERS[source] = CachedEncoder(source)
     return _ENCODERS[source]
+
+
+def forget() -> None:
+    """Drops the worker's encoders."""
+    _ENCODERS.clear()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import shingles as sh
-from barline.llm.common import map_batches, materialize, remove_path
+from barline.llm.common import in_arrow, map_batches, materialize, remove_path
 from barline.llm.components import components
 
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 13, 3, 9, 2
@@ -69,7 +69,7 @@ def _sketched(docs: DataFrame, id_column: str, text_column: str, size: int) -> D
                 at += len(texts)
 
     kind = next(f.dataType.simpleString() for f in source.schema if f.name == "doc_id")
-    return source.mapInArrow(run, f"doc_id {kind}, doc_key bigint, n_shingles bigint, digest binary, signature binary, sketch binary")
+    return in_arrow(source, run, f"doc_id {kind}, doc_key bigint, n_shingles bigint, digest binary, signature binary, sketch binary")
 
 
 def group_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
             center = center if not len(heads) else v[heads[-1]]
             yield pa.RecordBatch.from_pydict({"key": pa.array(out_k), "node": pa.array(out_v), "center": pa.array(out_c)})
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, center bigint")
+    return in_arrow(rows.repartition("key").sortWithinPartitions("key", "node"), run, "key bigint, node bigint, center bigint")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _across(buckets: DataFrame, parts: DataFrame, nodes: DataFrame, percent: int
         if held:
             yield give(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return in_arrow(dealt, run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -307,7 +307,7 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, size: int, wanted:
                 raw = memoryview(np.ascontiguousarray(sets).tobytes())
                 yield pa.RecordBatch.from_pydict({"digest": pa.array([digests[k] for k in chosen], pa.binary()), "shingles": pa.array([bytes(raw[8 * offsets[k] : 8 * offsets[k + 1]]) for k in chosen], pa.binary())})
 
-    every = source.mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    every = in_arrow(source, run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
     return every.join(wanted, "digest").select("node", "shingles")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm import simple8b
-from barline.llm.common import map_batches, materialize
+from barline.llm.common import in_arrow, map_batches, materialize
 from barline.llm.fast_tokens import encoder
 
 MAGIC = b"S8BTOK01"
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     spark = docs.sparkSession
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    manifest, _ = materialize(ordered.mapInArrow(run, "part bigint, file bigint, n_docs bigint, n_ids bigint"), "token-manifest")
+    manifest, _ = materialize(in_arrow(ordered, run, "part bigint, file bigint, n_docs bigint, n_ids bigint", encodes=True), "token-manifest")
     # One row a file, so that this window stays small: 4M ids each.
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -43,3 +43,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined_components(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after more links (u, v): components of components, of the few that the links name."""
+    names = {c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in ("u", "v")}
+    between = edges.join(names["u"], "u", "left").join(names["v"], "v", "left").select(F.coalesce("u_part", "u").alias("u"), F.coalesce("v_part", "v").alias("v"))
+    found, _ = materialize(components(between), "joined")
+    moved = parts.join(found.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    # Nodes that had no link before are components' names of their own.
+    new = found.join(parts, "node", "left_anti")
+    return moved.unionByName(new.select("node", "component"))

@@ -150,3 +150,52 @@ def half_life_deviation(values: Column, half_life: float, least: int) -> Column:
     keep = 0.5 ** (1 / half_life)
     sums = F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), lambda v, x: F.struct((v["s"] * keep + x * x).alias("s"), (v["w"] * keep + 1).alias("w")))
     return F.when(F.size(values) >= least, F.sqrt(sums["s"] / sums["w"]))
+
+
+def atr(n: int, lookback: int) -> Column:
+    """Wilder's average true range; the range stands in a column ``range``."""
+    return atr_of(window_array(F.col("range"), lookback), n)
+
+
+def ewm_rsi(closes: Column, n: int) -> Column:
+    """Index over an array of closes whose averages begin with the first move."""
+    k = F.greatest(F.size(closes) - 1, F.lit(0))
+    moves = F.zip_with(F.slice(closes, F.lit(2), k), F.slice(closes, F.lit(1), k), lambda b, a: b - a)
+    a = 1 / n
+
+    def average(sign: int) -> Column:
+        parts = F.transform(moves, lambda d: F.greatest(sign * d, F.lit(0.0)))
+        return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), lambda v, x: v + a * (x - v))
+
+    gain, loss = average(1), average(-1)
+    return F.when(k >= n, F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss)))
+
+
+def growth(x: Column, k: int = 1) -> Column:
+    """Return over ``k`` rows; NULL where the start is zero."""
+    return F.try_divide(x, F.nullif(ago(x, k), F.lit(0.0))) - 1
+
+
+def sample_std(x: Column, n: int) -> Column:
+    return full(x, n, F.stddev_samp(x).over(last(n)))
+
+
+def over_median(x: Column, n: int) -> Column:
+    """``x`` over the median of its last ``n`` values; a third of them must be there."""
+    w = last(n)
+    return F.when(F.count(x).over(w) >= n // 3, F.try_divide(x, F.nullif(F.percentile(x, F.lit(0.5)).over(w), F.lit(0.0))))
+
+
+def efficiency(x: Column, n: int) -> Column:
+    """Net move over the sum of the moves; NULL on a flat window. ``x`` must have a column ``step`` of absolute moves beside it."""
+    return F.try_divide(F.abs(x - ago(x, n)), F.nullif(full(F.col("step"), n, F.sum("step").over(last(n))), F.lit(0.0)))
+
+
+def ewm_deviation(values: Column, half_life: float, least: int) -> Column:
+    """Sample deviation of an array (newest last) with half-life weights, corrected for bias."""
+    keep = 0.5 ** (1 / half_life)
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("w", "w2", "x", "xx")])
+    s = F.aggregate(values, zero, lambda v, x: F.struct((v["w"] * keep + 1).alias("w"), (v["w2"] * (keep * keep) + 1).alias("w2"), (v["x"] * keep + x).alias("x"), (v["xx"] * keep + x * x).alias("xx")))
+    mean = s["x"] / s["w"]
+    biased = F.greatest(s["xx"] / s["w"] - mean * mean, F.lit(0.0))
+    return F.when(F.size(values) >= least, F.sqrt(biased * s["w"] * s["w"] / (s["w"] * s["w"] - s["w2"])))

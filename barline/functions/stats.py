@@ -145,3 +145,25 @@ def pairwise_correlation(long: DataFrame, name: str, at: str, x: str, least: int
     va, vb = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa"), F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
     rho = F.when((F.col("n") >= least) & (va > 0) & (vb > 0), cov / F.sqrt(va) / F.sqrt(vb))
     return g.select("a", "b", "n", rho.alias("rho"))
+
+
+def newey_west(returns: DataFrame, lags: int) -> DataFrame:
+    """symbol, n, alpha, beta, r2, alpha_t, beta_t of each series (symbol, ts, ret) on the mean of all of a time.
+
+    Errors allow for correlation over ``lags`` rows with weights that fall in a line; sums of lagged products are one aggregation.
+    """
+    j = returns.join(returns.groupBy("ts").agg(F.avg("ret").alias("x")), "ts").select("symbol", "ts", F.col("ret").alias("y"), "x")
+    c = j.groupBy("symbol").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"), F.regr_r2("y", "x").alias("r2"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    u = F.col("y") - F.col("alpha") - F.col("beta") * F.col("x")
+    e = j.join(c.select("symbol", "alpha", "beta"), "symbol").select("symbol", "ts", u.alias("u"), (u * F.col("x")).alias("v"))
+    w = Window.partitionBy("symbol").orderBy("ts")
+    e = e.select("symbol", "u", "v", *[F.lag(k, i).over(w).alias(f"{k}{i}") for k in ("u", "v") for i in range(1, lags + 1)])
+    product = lambda a, b: F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0))
+    fall = lambda i: 1 - i / (lags + 1)
+    own = lambda k: product(k, k) + sum((2 * fall(i) * product(k, f"{k}{i}") for i in range(2, lags + 1)), 2 * fall(1) * product(k, f"{k}1"))
+    cross = product("u", "v") + sum((fall(i) * (product("u", f"v{i}") + product("v", f"u{i}")) for i in range(2, lags + 1)), fall(1) * (product("u", "v1") + product("v", "u1")))
+    s = e.groupBy("symbol").agg(own("u").alias("s11"), own("v").alias("s22"), cross.alias("s12"))
+    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    i = c.select("symbol", "n", "alpha", "beta", "r2", (F.col("sxx") / det).alias("a"), (-F.col("sx") / det).alias("b"), (F.col("n") / det).alias("d")).join(s, "symbol")
+    error = lambda p, q: F.sqrt(F.col(p) * F.col(p) * F.col("s11") + 2 * F.col(p) * F.col(q) * F.col("s12") + F.col(q) * F.col(q) * F.col("s22"))
+    return i.select("symbol", "n", "alpha", "beta", "r2", (F.col("alpha") / error("a", "b")).alias("alpha_t"), (F.col("beta") / error("b", "d")).alias("beta_t"))

@@ -158,3 +158,36 @@ def test_imports_without_a_session():
     import sys
 
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=__file__.rsplit("/", 2)[0], timeout=120).returncode == 0
+
+
+def test_clusters_of_series():
+    from barline.functions import validation as va
+
+    r = np.random.default_rng(0)
+    x = np.vstack([g + 0.3 * r.normal(size=(4, 300)) for g in r.normal(size=(3, 300))])
+    label = va.cluster_series(np.sqrt(np.clip(1 - np.corrcoef(x), 0, None) / 2))
+    assert len(set(label.tolist())) == 3 and all(len(set(label[i : i + 4].tolist())) == 1 for i in (0, 4, 8))
+    stats = [{"name": "a", "decile_rank": 0.9, "week_t": 4}, {"name": "b", "decile_rank": -0.8, "week_t": -5}, {"name": "c", "decile_rank": 0.5, "week_t": 9}]
+    assert va.select_features(stats, {("a", "b"): 0.9}) == ["b"] and va.select_features(stats, {}) == ["b", "a"]
+
+
+def test_alignment_on_the_driver(spark):
+    from datetime import date
+
+    from barline.operators import alignment as al
+
+    assert al.timeframe_seconds("15m") == 900 and al.timeframe_seconds("4h") == 14_400
+    with pytest.raises(ValueError):
+        al.timeframe_seconds("0h")
+    assert al.normalized_window(datetime(2020, 1, 1, 0, 10), datetime(2020, 1, 1, 3, 5), "1h") == (datetime(2020, 1, 1, 1), datetime(2020, 1, 1, 3))
+    with pytest.raises(ValueError):
+        al.normalized_window(datetime(2020, 1, 1, 0, 10), datetime(2020, 1, 1, 0, 50), "1h")
+    assert al.add_months(date(2020, 1, 31), 1) == date(2020, 2, 29) and al.add_months(date(2020, 11, 30), 3) == date(2021, 2, 28)
+    folds = al.fold_schedule(date(2020, 2, 10), date(2021, 12, 31), 12)
+    assert folds[0] == (date(2020, 4, 1), date(2021, 4, 1), date(2021, 7, 1)) and folds[-1][2] <= date(2021, 12, 31)
+    a = spark.createDataFrame([("X", datetime(2020, 1, i), i) for i in (1, 2)], "symbol string, ts timestamp_ntz, bar_ix bigint")
+    with pytest.raises(ValueError):
+        al.followed_by(a, a)
+    with pytest.raises(ValueError):
+        al.assert_aligned(a, a.where("bar_ix = 1"), ["symbol", "ts"])
+    al.assert_aligned(a, a, ["symbol", "ts"])

@@ -96,11 +96,11 @@ def condition_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("trained", F.sum("r").over(Window.partitionBy("pair").orderBy("month").rowsBetween(-12, -1)))
 
 
-@R.query(MASKED + ", f AS (SELECT symbol, ts, close, {0} AS dev FROM bars), t AS (SELECT symbol, quantile_cont(dev, 0.5) AS cut FROM f WHERE ts < TIMESTAMP '1994-01-01' GROUP BY symbol) SELECT f.symbol, f.ts, f.dev > t.cut AS wide, f.dev > t.cut AND k.broad_ AS kept FROM f JOIN t USING (symbol) JOIN masked k USING (symbol, ts) WHERE f.dev IS NOT NULL AND f.ts >= TIMESTAMP '1994-01-01'".replace("{0}", STD("close", 20)))
+@R.query(MASKED + ", f AS (SELECT symbol, ts, close, {0} AS dev FROM bars), t AS (SELECT symbol, quantile_cont(dev, 0.5) AS cut FROM f WHERE ts < TIMESTAMP '1998-01-01' GROUP BY symbol) SELECT f.symbol, f.ts, f.dev > t.cut AS wide, f.dev > t.cut AND k.broad_ AS kept FROM f JOIN t USING (symbol) JOIN masked k USING (symbol, ts) WHERE f.dev IS NOT NULL AND f.ts >= TIMESTAMP '1998-01-01'".replace("{0}", STD("close", 20)))
 def frozen_median_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Bars whose feature lies above the median of the training years, which stays frozen, and that pass another condition."""
     f = m.daily_bars(spark, sf).select("symbol", "ts", ft.std(F.col("close"), 20).alias("dev")).where("dev IS NOT NULL")
-    cut = F.expr("TIMESTAMP_NTZ '1994-01-01'")
+    cut = F.expr("TIMESTAMP_NTZ '1998-01-01'")
     t = f.where(F.col("ts") < cut).groupBy("symbol").agg(F.percentile("dev", F.lit(0.5)).alias("cut"))
     wide = F.col("dev") > F.col("cut")
     return f.where(F.col("ts") >= cut).join(t, "symbol").join(masked(spark, sf).select("symbol", "ts", "broad_"), ["symbol", "ts"]).select("symbol", "ts", wide.alias("wide"), (wide & F.col("broad_")).alias("kept"))
@@ -182,12 +182,12 @@ def stitched_curve(spark: SparkSession, sf: str) -> DataFrame:
     return eq.withColumn("fall", F.col("equity") / F.max("equity").over(w) - 1)
 
 
-@R.query(GROWTH + """, p AS (SELECT symbol, CASE WHEN ts < TIMESTAMP '1995-06-01' THEN 'early' ELSE 'late' END AS era, avg(ret) AS mean FROM growth GROUP BY ALL), w AS (SELECT symbol, max(mean) FILTER (era = 'early') AS early, max(mean) FILTER (era = 'late') AS late FROM p GROUP BY symbol),
+@R.query(GROWTH + """, p AS (SELECT symbol, CASE WHEN ts < TIMESTAMP '1998-06-01' THEN 'early' ELSE 'late' END AS era, avg(ret) AS mean FROM growth GROUP BY ALL), w AS (SELECT symbol, max(mean) FILTER (era = 'early') AS early, max(mean) FILTER (era = 'late') AS late FROM p GROUP BY symbol),
 k AS (SELECT *, ntile(3) OVER (ORDER BY early DESC, symbol) AS tier, rank() OVER (ORDER BY early) AS re, rank() OVER (ORDER BY late) AS rl FROM w WHERE early IS NOT NULL AND late IS NOT NULL)
 SELECT symbol, CASE tier WHEN 1 THEN 'good' WHEN 2 THEN 'neutral' ELSE 'bad' END AS grp, early, late, (SELECT corr(re, rl) FROM k) AS persistence FROM k""")
 def series_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Series grouped by their early mean, and how that order persists. A row a series."""
-    era = F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '1995-06-01'"), "early").otherwise("late")
+    era = F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '1998-06-01'"), "early").otherwise("late")
     w = growth(spark, sf).withColumn("era", era).groupBy("symbol").pivot("era", ["early", "late"]).agg(F.avg("ret"))
     k = w.where("early IS NOT NULL AND late IS NOT NULL").withColumns({"tier": F.ntile(3).over(Window.orderBy(F.desc("early"), "symbol")), "re": F.rank().over(Window.orderBy("early")), "rl": F.rank().over(Window.orderBy("late"))})
     grp = F.when(F.col("tier") == 1, "good").when(F.col("tier") == 2, "neutral").otherwise("bad")

@@ -4,7 +4,8 @@ All of it is DataFrame operations and Spark's own (JVM) FP-growth. Tokens of a
 URL: its host, each label of it, path segments with numbers as one token, file
 ending, and query keys. From labelled URLs, frequent token sets with the label
 ``!bad`` give rules ``tokens -> !bad``; rules below the confidence, the lift or
-the support go, and so do rules that a shorter kept rule contains. Matching
+the support go, those whose hits chance explains given how many token sets were tried, and
+so do rules that a shorter kept rule contains. Matching
 explodes a URL's tokens, joins the rules' tokens and counts: a rule fits where
 all its tokens were found.
 
@@ -15,6 +16,7 @@ mined rules.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -50,11 +52,13 @@ def token_column(url: Column) -> Column:
     return F.array_distinct(F.concat(whole, labels, segments, ending, keys))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.5, min_lift: float = 2.0, max_tokens: int = 3, min_rows: int = 5) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.5, min_lift: float = 2.0, max_tokens: int = 3, min_rows: int = 5, error: float = 0.05) -> DataFrame:
     """Rules (rule_id, tokens, support, confidence, lift) from url and label (1 is bad).
 
     FP-growth is distributed, so all labelled rows may come. It counts token sets; the confidence of
-    a set is the count with the label over the count without it.
+    a set is the count with the label over the count without it. A rule's hits must lie so many
+    deviations above those of its share of bad rows that none of all sets tried would by chance, but
+    with probability ``error`` (a normal tail is below exp(-z*z/2)).
     """
     items = labelled.select(token_column(F.col("url")).alias("tokens"), (F.col("label") == 1).alias("bad")).where(F.size("tokens") > 0)
     total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")).first()
@@ -66,11 +70,11 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence:
     support = max(min_support, min_rows / n)
     frequent = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets).freqItemsets
     sets = frequent.select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq")
+    tried = sets.where(F.size("tokens").between(1, max_tokens)).groupBy("tokens").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("rows"))
+    chance = math.sqrt(2 * math.log(max(1, tried.count()) / error))
+    above = F.col("hits") - F.col("rows") * share
     rules = (
-        sets.where(F.size("tokens").between(1, max_tokens))
-        .groupBy("tokens")
-        .agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("hits"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("rows"))
-        .where(F.col("hits").isNotNull())
+        tried.where(F.col("hits").isNotNull() & (above >= chance * F.sqrt(F.col("rows") * share * (1 - share))))
         .select("tokens", (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("rows")).alias("confidence"))
         .withColumn("lift", F.col("confidence") / share)
         .where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))

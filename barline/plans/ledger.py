@@ -80,3 +80,27 @@ def overlapping(claims: DataFrame) -> DataFrame:
     a = claims.select("campaign_id", F.col("claim_id").alias("a"), F.explode(F.sequence("first_month", F.col("end_month") - 1)).alias("month"))
     b = a.select("campaign_id", F.col("a").alias("b"), "month")
     return a.join(b, ["campaign_id", "month"]).where("a < b").groupBy("campaign_id", "a", "b").agg(F.count("*").alias("n_months"))
+
+
+def status(campaigns: DataFrame, events: DataFrame) -> DataFrame:
+    """campaign_id, status: OPEN until FROZEN, then BURNED; ABANDONED ends it from anywhere but BURNED. ``events``: campaign_id, name."""
+    flags = events.groupBy("campaign_id").agg(*[F.coalesce(F.bool_or(F.col("name") == n), F.lit(False)).alias(n) for n in ("frozen", "burned", "abandoned")])
+    j = campaigns.select("campaign_id").join(flags, "campaign_id", "left")
+    return j.select("campaign_id", F.when(F.col("burned"), "BURNED").when(F.col("abandoned"), "ABANDONED").when(F.col("frozen"), "FROZEN").otherwise("OPEN").alias("status"))
+
+
+def latest_in_sample_end(events: DataFrame, pattern: str = r"^data:is_end:\d{4}-\d{2}-\d{2}$") -> DataFrame:
+    """campaign_id, is_end: the last day that any matching event names (its last ten characters)."""
+    return events.where(F.col("name").rlike(pattern)).groupBy("campaign_id").agg(F.max(F.substring("name", -10, 10)).alias("is_end"))
+
+
+def over_budget(trials: DataFrame, budgets: DataFrame) -> DataFrame:
+    """campaign_id, n, budget of campaigns with more trials than their budget."""
+    return trials.groupBy("campaign_id").agg(F.count("*").alias("n")).join(budgets, "campaign_id").where("n > budget")
+
+
+def engine_report(trials: DataFrame, gates: DataFrame) -> DataFrame:
+    """campaign_id, n_trials, n_passed, efficiency, n_cells of the trials with any passed gate."""
+    passed = gates.groupBy("trial_id").agg(F.bool_or("passed").alias("ok"))
+    t = trials.join(passed, "trial_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return t.groupBy("campaign_id").agg(F.count("*").alias("n_trials"), F.count_if("ok").alias("n_passed"), (F.count_if("ok") / F.count("*")).alias("efficiency"), F.count_distinct(F.when(F.col("ok"), F.col("cell"))).alias("n_cells"))

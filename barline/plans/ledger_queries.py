@@ -98,3 +98,60 @@ def ledger_record_curve(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("campaign_id").orderBy("made", "trial_id")
     y = trials(spark, sf).select("campaign_id", "made", (F.row_number().over(w) - 1).cast("bigint").alias("ix"), F.count("*").over(Window.partitionBy("campaign_id")).alias("n"), F.max("score").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("record"))
     return y.where(F.col("ix") % F.greatest(F.lit(1), F.ceil(F.col("n") / 100.0).cast("bigint")) == 0).select("campaign_id", "ix", "made", "record")
+
+
+STEPS = BASE + ", steps AS (SELECT campaign_id, CASE WHEN cell LIKE '1%' AND score > 480000 THEN 'frozen' WHEN cell LIKE '2%' AND score > 490000 THEN 'burned' WHEN cell LIKE '5%' AND score > 495000 THEN 'abandoned' ELSE 'data:is_end:' || strftime(made, '%Y-%m-%d') END AS name FROM trials)"
+
+
+def steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of campaigns, named by the cell and score of their trials."""
+    name = F.when(F.col("cell").startswith("1") & (F.col("score") > 480000), "frozen").when(F.col("cell").startswith("2") & (F.col("score") > 490000), "burned").when(F.col("cell").startswith("5") & (F.col("score") > 495000), "abandoned")
+    return trials(spark, sf).select("campaign_id", F.coalesce(name, F.concat(F.lit("data:is_end:"), F.date_format("made", "yyyy-MM-dd"))).alias("name"))
+
+
+@R.query(STEPS + ", f AS (SELECT campaign_id, bool_or(name = 'frozen') AS frozen, bool_or(name = 'burned') AS burned, bool_or(name = 'abandoned') AS abandoned FROM steps GROUP BY campaign_id) SELECT n_nationkey::BIGINT AS campaign_id, CASE WHEN burned THEN 'BURNED' WHEN abandoned THEN 'ABANDONED' WHEN frozen THEN 'FROZEN' ELSE 'OPEN' END AS status FROM nation LEFT JOIN f ON campaign_id = n_nationkey")
+def ledger_campaign_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The state that each campaign's events add up to."""
+    campaigns = m.read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("campaign_id"))
+    return lg.status(campaigns, steps(spark, sf))
+
+
+@R.query(STEPS + " SELECT campaign_id::BIGINT AS campaign_id, max(substr(name, -10)) AS is_end FROM steps WHERE regexp_matches(name, '^data:is_end:\\d{4}-\\d{2}-\\d{2}$') GROUP BY campaign_id")
+def ledger_latest_end(spark: SparkSession, sf: str) -> DataFrame:
+    return lg.latest_in_sample_end(steps(spark, sf)).select(F.col("campaign_id").cast("bigint").alias("campaign_id"), "is_end")
+
+
+@R.query(BASE + " SELECT (SELECT count(*) FROM trials) AS n_trials, (SELECT count(*) FROM gates) AS n_gates, (SELECT count(*) FROM gates WHERE passed) AS n_passed, (SELECT count(DISTINCT run) FROM clusters) AS n_runs, (SELECT count(*) FROM nation) AS n_campaigns")
+def ledger_snapshot_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the ledger's relations in one row."""
+    one = trials(spark, sf).agg(F.count("*").alias("n_trials"))
+    g = gates(spark, sf).agg(F.count("*").alias("n_gates"), F.count_if("passed").alias("n_passed"))
+    c = clusters(spark, sf).agg(F.count_distinct("run").alias("n_runs"))
+    return one.crossJoin(g).crossJoin(c).crossJoin(m.read(spark, sf, "nation").agg(F.count("*").alias("n_campaigns")))  # one row each
+
+
+@R.query(BASE + ", a AS (SELECT trial_id, cell || '#' || campaign_id AS name FROM trials) SELECT split_part(name, '#', 1) AS calibration, count(*) AS n_attempts, min(trial_id) AS first_trial, max(trial_id) AS last_trial FROM a WHERE starts_with(name, '1-') OR starts_with(name, '5-') GROUP BY split_part(name, '#', 1)")
+def ledger_calibration_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts of calibration runs, told by the prefix of their names."""
+    a = trials(spark, sf).select("trial_id", F.concat_ws("#", "cell", F.col("campaign_id").cast("string")).alias("name"))
+    mine = a.where(F.col("name").startswith("1-") | F.col("name").startswith("5-"))
+    return mine.groupBy(F.split_part("name", F.lit("#"), F.lit(1)).alias("calibration")).agg(F.count("*").alias("n_attempts"), F.min("trial_id").alias("first_trial"), F.max("trial_id").alias("last_trial"))
+
+
+@R.query(BASE + ", p AS (SELECT trial_id, bool_or(passed) AS ok FROM gates GROUP BY trial_id), t AS (SELECT t.*, coalesce(p.ok, false) AS ok FROM trials t LEFT JOIN p USING (trial_id)) SELECT campaign_id, count(*) AS n_trials, count(*) FILTER (ok) AS n_passed, count(*) FILTER (ok) / count(*) AS efficiency, count(DISTINCT cell) FILTER (ok) AS n_cells FROM t GROUP BY campaign_id")
+def ledger_engine_report(spark: SparkSession, sf: str) -> DataFrame:
+    return lg.engine_report(trials(spark, sf), gates(spark, sf))
+
+
+@R.query(BASE + " SELECT campaign_id, count(*) AS n, 40::BIGINT AS budget FROM trials GROUP BY campaign_id HAVING count(*) > 40")
+def ledger_over_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Campaigns with more trials than their budget."""
+    t = trials(spark, sf)
+    return lg.over_budget(t, t.select("campaign_id").distinct().withColumn("budget", F.lit(40).cast("bigint")))
+
+
+@R.query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS parent, event_type, count(*) AS n_children, min(event_id) AS first_event FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL")
+def ledger_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """What a migration fills in from the details of events."""
+    e = m.read(spark, sf, "events").withColumn("parent", F.get_json_object("props", "$.k").cast("bigint")).where("parent IS NOT NULL")
+    return e.groupBy("parent", "event_type").agg(F.count("*").alias("n_children"), F.min("event_id").alias("first_event"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -100,6 +101,30 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables that an operator needs on its way: written like :func:`materialize` does, and removed together once its result is."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = materialize(df, tag)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            _remove_quietly(self.spark, path)
+        self.paths = []
+        drop_shuffles(self.spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark's cleaner deletes the shuffle files of plans that nothing refers to any more, once the driver has collected them: asks for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_column(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased; null and blank texts have none."""
     low = F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +66,35 @@ def sharpe_moments(returns: DataFrame, keys: list[str], x: str = "ret") -> DataF
     )
 
 
-def normal_cdf(x: Column) -> Column:
-    @F.pandas_udf("double")
-    def cdf(v: pd.Series) -> pd.Series:
-        return v.map(lambda z: None if z is None or z != z else 0.5 * (1 + math.erf(z / math.sqrt(2))))
+#: The published rational approximation (double precision) of the normal tail below SPLIT; a continued fraction beyond.
+SPLIT = 7.07106781186547
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
 
-    return cdf(x)
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution function, as an expression."""
+    z = F.abs(x)
+    horner = lambda values: reduce(lambda v, c: v * z + c, values[1:], F.lit(values[0]))
+    bell = F.exp(-z * z / 2)
+    far = bell / reduce(lambda v, k: z + k / v, (4, 3, 2, 1), z + 0.65) / 2.506628274631
+    tail = F.when(z < SPLIT, bell * horner(TAIL_ABOVE) / horner(TAIL_BELOW)).otherwise(far)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The same for SQL engines."""
+    z = f"abs({x})"
+    horner = lambda values: reduce(lambda v, c: f"({v} * {z} + {c!r}::DOUBLE)", values[1:], f"{values[0]!r}::DOUBLE")
+    far = reduce(lambda v, k: f"({z} + {k} / {v})", (4, 3, 2, 1), f"({z} + 0.65)")
+    tail = f"CASE WHEN {z} < {SPLIT!r}::DOUBLE THEN exp(-{z} * {z} / 2) * {horner(TAIL_ABOVE)} / {horner(TAIL_BELOW)} ELSE exp(-{z} * {z} / 2) / {far} / 2.506628274631::DOUBLE END"
+    return f"CASE WHEN {x} > 0 THEN 1 - ({tail}) ELSE {tail} END"
+
+
+def sharpe_z(sharpe: Column, benchmark: Column, n: Column, skew: Column, kurtosis: Column) -> Column:
+    """Deviations between a ratio and its benchmark, by the moments of the returns; its normal probability is the probabilistic ratio."""
+    spread = 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe
+    return F.when((spread > 0) & (n > 1), (sharpe - benchmark) * F.sqrt(n - 1) / F.sqrt(spread))
 
 
 def cscv(returns: DataFrame, blocks: int = 8) -> DataFrame:
@@ -121,10 +144,11 @@ def purged_splits(n: int, groups: int = 6, test_groups: int = 2, embargo: float
 
 
 def greedy_decorrelate(scores: dict[str, float], correlation: dict[tuple[str, str], float], most: float) -> list[str]:
-    """Names in order of score (ties by name), each unless it correlates above ``most`` with a kept one."""
+    """Names in order of score (ties by name), each unless it correlates by more than ``most``, up or down, with a kept one, or
+    too few common points say whether it does (no such pair, or NaN)."""
     kept: list[str] = []
     for name in sorted(scores, key=lambda k: (-scores[k], k)):
-        if all(correlation.get((name, k), correlation.get((k, name), 0.0)) <= most for k in kept):
+        if all(abs(correlation.get((name, k), correlation.get((k, name), float("nan")))) <= most for k in kept):
             kept.append(name)
     return kept
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions import features as ft
+from barline.functions import stats as st
 from barline.functions import validation as va
 from barline.operators import strategies as so
 from barline.plans.analytics_queries import CONFIG_SQL, config_returns
@@ -276,3 +277,25 @@ def target_weights(spark: SparkSession, sf: str) -> DataFrame:
     q = v.withColumn("raw", F.coalesce(F.col("side") * F.try_divide(F.lit(0.05), F.nullif(F.col("vol"), F.lit(0.0))) / F.count("*").over(day), F.lit(0.0)))
     cap = F.least(F.coalesce(F.try_divide(F.lit(0.1), F.nullif(F.sum(F.abs("raw")).over(day), F.lit(0.0))), F.lit(1.0)), F.lit(1.0))
     return q.select("symbol", "ts", (F.col("raw") * cap).alias("weight"))
+
+
+_TRIALS = 50
+_Z = lambda b: f"CASE WHEN 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe > 0 AND n > 1 THEN (sharpe - ({b})) * sqrt(n - 1.0) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) END"
+
+
+@R.query(GROWTH + f""", s AS (SELECT symbol, count(*) AS n, avg(ret) AS mean FROM growth GROUP BY symbol), p AS (SELECT symbol, any_value(n) AS n, any_value(mean) AS mean, avg((ret - mean) ** 2) AS m2, avg((ret - mean) ** 3) AS m3, avg((ret - mean) ** 4) AS m4 FROM growth JOIN s USING (symbol) GROUP BY symbol),
+q AS (SELECT symbol, n, mean / sqrt(m2) AS sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * (m4 / (m2 * m2) - 3) + 6) + 3 AS kurtosis FROM p),
+v AS (SELECT *, (SELECT sqrt(var_pop(sharpe)) FROM q) * {st.expected_max_sharpe(_TRIALS)!r}::DOUBLE AS best FROM q), z AS (SELECT *, {_Z('0')} AS z0, {_Z('best')} AS z1 FROM v)
+SELECT symbol, n, sharpe, best, {st.normal_cdf_sql('z0')} AS probabilistic, {st.normal_cdf_sql('z1')} AS deflated FROM z""")
+def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Each series' ratio against nothing, and against the best that so many trials would show by luck."""
+    q = st.sharpe_moments(growth(spark, sf), ["symbol"])
+    best = F.sqrt(F.var_pop("sharpe").over(Window.partitionBy())) * st.expected_max_sharpe(_TRIALS)  # a row a series
+    v = q.withColumn("best", best)
+    z = lambda b: st.sharpe_z(F.col("sharpe"), b, F.col("n"), F.col("skew"), F.col("kurtosis"))
+    return v.select("symbol", "n", "sharpe", "best", st.normal_cdf(z(F.lit(0.0))).alias("probabilistic"), st.normal_cdf(z(F.col("best"))).alias("deflated"))
+
+
+@R.query(f"WITH x AS (SELECT event_id, value / 50 - 1 AS z FROM events) SELECT event_id, {st.normal_cdf_sql('z')} AS p FROM x")
+def normal_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    return m.read(spark, sf, "events").select("event_id", st.normal_cdf(F.col("value") / 50 - 1).alias("p"))

@@ -109,6 +109,7 @@ def test_statistics():
     assert st.deflated_sharpe(2.5 / math.sqrt(250), 1250, -3, 10, 100, 0.5 / 250) == pytest.approx(0.9004, abs=2e-3)
     for train, test in st.purged_splits(60):
         assert not set(train) & set(test) and len(test) == 20
+    assert st.greedy_decorrelate({'a': 2, 'b': 1, 'c': 0}, {('a', 'b'): -0.9}, 0.5) == ['a']
     assert st.greedy_decorrelate({"a": 3, "b": 2, "c": 1}, {("a", "b"): 0.9, ("a", "c"): 0.1, ("b", "c"): 0.2}, 0.5) == ["a", "c"]
 
 
@@ -191,3 +192,11 @@ def test_alignment_on_the_driver(spark):
     with pytest.raises(ValueError):
         al.assert_aligned(a, a.where("bar_ix = 1"), ["symbol", "ts"])
     al.assert_aligned(a, a, ["symbol", "ts"])
+
+
+def test_normal_distribution(spark):
+    from pyspark.sql import functions as F
+
+    zs = [-40.0, -8.0, -7.1, -3.3, -1.0, 0.0, 0.5, 2.0, 6.9, 7.2, 30.0]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(st.normal_cdf(F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], rel=1e-7, abs=1e-14)

@@ -147,3 +147,31 @@ def select_features(stats: list[dict], correlation: dict[tuple[str, str], float]
         if len(kept) < most and all(abs(correlation.get((s["name"], k), correlation.get((k, s["name"]), 0.0))) <= most_rho for k in kept):
             kept.append(s["name"])
     return kept
+
+
+def build_portfolio(trials: DataFrame, returns: DataFrame, period: Column, most_rho: float = 0.5, most: int = 10, least: int = 30) -> tuple[dict[str, list[int]], DataFrame, DataFrame]:
+    """Steps (trial ids after each), weights (member, weight) and returns (ts, ret) of a portfolio.
+
+    ``trials``: trial_id, cell, score; ``returns``: member (a trial), ts, ret. One trial a cell stays (the best score,
+    the earlier on a tie); in order of score each stays that correlates with none kept, on their common points; the
+    first ``most`` get weights by inverse deviation over the points that all have, and are rebalanced by period.
+    Correlations are aggregated in Spark; the walk in order of score is over one row a cell, on the driver.
+    """
+    from barline.functions.stats import greedy_decorrelate, pairwise_correlation
+
+    order = [F.desc("score"), "trial_id"]
+    kept = trials.withColumn("__n", F.row_number().over(Window.partitionBy("cell").orderBy(*order))).where("__n = 1").orderBy(*order)
+    ranked = [(r["trial_id"], r["score"]) for r in kept.select("trial_id", "score").collect()]
+    ids = [t for t, _ in ranked]
+    mine = returns.where(F.col("member").isin(ids))
+    rho = {(r["a"], r["b"]): r["rho"] for r in pairwise_correlation(mine, "member", "ts", "ret", least).where("rho IS NOT NULL").collect()}
+    apart = greedy_decorrelate({t: -i for i, (t, _) in enumerate(ranked)}, rho, most_rho)
+    chosen = apart[:most]
+    if not chosen:
+        raise ValueError("no trial is left for a portfolio")
+    few = mine.where(F.col("member").isin(chosen))
+    common = few.join(few.groupBy("ts").agg(F.count("*").alias("__k")).where(F.col("__k") == len(chosen)).select("ts"), "ts", "left_semi")
+    if common.limit(least).count() < least:
+        raise ValueError("too few common points")
+    weights = inverse_volatility(common)
+    return {"representatives": ids, "decorrelated": apart, "capped": chosen}, weights, rebalanced(common, weights, period)

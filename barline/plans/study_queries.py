@@ -62,12 +62,19 @@ def top_fraction(spark: SparkSession, sf: str) -> DataFrame:
 p AS (SELECT a.trial, len(list_intersect(a.parts, b.parts)) AS shared, len(a.parts) + len(b.parts) - len(list_intersect(a.parts, b.parts)) AS whole FROM s a JOIN s b ON a.family = b.family AND b.trial < a.trial)
 SELECT trial, max(shared / whole) AS likeness, count(*) AS n_earlier FROM p GROUP BY trial""")
 def novelty(spark: SparkSession, sf: str) -> DataFrame:
-    """Each trial's greatest set likeness to an earlier one of its family."""
+    """Each trial's greatest set likeness to an earlier one of its family.
+
+    Sets are bits over a fixed number of parts, so a trial is compared with the distinct sets of its family that came
+    first before it, not with each earlier trial.
+    """
     c, o = m.read(spark, sf, "customer"), m.read(spark, sf, "orders")
-    s = c.join(o, c["c_custkey"] == o["o_custkey"]).groupBy(F.col("c_custkey").alias("trial"), F.col("c_nationkey").alias("family")).agg(F.collect_set(F.col("o_orderkey") % 15).alias("parts"))
-    a, b = s.alias("a"), s.alias("b")
-    p = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("b.trial") < F.col("a.trial")))
-    return p.groupBy(F.col("a.trial").alias("trial")).agg(F.max(F.size(F.array_intersect("a.parts", "b.parts")) / F.size(F.array_union("a.parts", "b.parts"))).alias("likeness"), F.count("*").alias("n_earlier"))
+    bit = F.expr("shiftleft(1L, cast(o_orderkey % 15 as int))")
+    s = c.join(o, c["c_custkey"] == o["o_custkey"]).groupBy(F.col("c_custkey").alias("trial"), F.col("c_nationkey").alias("family")).agg(F.bit_or(bit).alias("bits"))
+    s = s.withColumn("n_earlier", F.row_number().over(Window.partitionBy("family").orderBy("trial")).cast("bigint") - 1)
+    known = s.groupBy("family", F.col("bits").alias("other")).agg(F.min("trial").alias("first"))
+    p = s.join(known, "family").where("first < trial")
+    like = F.bit_count(F.col("bits").bitwiseAND(F.col("other"))) / F.bit_count(F.col("bits").bitwiseOR(F.col("other")))
+    return p.groupBy("trial").agg(F.max(like).alias("likeness"), F.max("n_earlier").alias("n_earlier"))
 
 
 @R.query(CONFIG_SQL + ", g AS (SELECT config_id, ntile(6) OVER (PARTITION BY config_id ORDER BY obs_ix) AS fold, ret FROM returns), fo AS (SELECT config_id, fold, sum(ret) AS total, count(*) AS n FROM g GROUP BY ALL) SELECT a.fold AS test_fold, b.config_id::BIGINT AS config_id, sum(b.total) AS train_total, max(c.total) AS test_total FROM (SELECT DISTINCT fold FROM fo) a JOIN fo b ON b.fold <> a.fold JOIN fo c ON c.fold = a.fold AND c.config_id = b.config_id GROUP BY ALL")

@@ -200,3 +200,33 @@ def test_normal_distribution(spark):
     zs = [-40.0, -8.0, -7.1, -3.3, -1.0, 0.0, 0.5, 2.0, 6.9, 7.2, 30.0]
     got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(st.normal_cdf(F.col("z")).alias("p")).collect()]
     assert got == pytest.approx([0.5 * math.erfc(-z / math.sqrt(2)) for z in zs], rel=1e-7, abs=1e-14)
+
+
+def test_portfolio_by_steps(spark):
+    from datetime import timedelta
+
+    from pyspark.sql import functions as F
+
+    from barline.functions import validation as va
+
+    r = np.random.default_rng(5)
+    base = r.normal(0, 0.01, (3, 80))
+    series = {1: base[0], 2: base[0] + r.normal(0, 0.001, 80), 3: base[1], 4: 2 * base[2], 5: base[1]}
+    rows = [(k, datetime(2020, 1, 1) + timedelta(days=i), float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    trials = spark.createDataFrame([(1, "a", 5.0), (2, "b", 4.0), (3, "c", 3.0), (4, "d", 2.0), (5, "c", 3.0)], "trial_id bigint, cell string, score double")
+    returns = spark.createDataFrame(rows, "member bigint, ts timestamp_ntz, ret double")
+    steps, weights, out = va.build_portfolio(trials, returns, F.year("ts") * 100 + F.month("ts"))
+    assert steps == {"representatives": [1, 2, 3, 4], "decorrelated": [1, 3, 4], "capped": [1, 3, 4]}
+    w = {x.member: x.weight for x in weights.collect()}
+    inverse = {k: 1 / np.std(series[k], ddof=1) for k in (1, 3, 4)}
+    assert w == pytest.approx({k: v / sum(inverse.values()) for k, v in inverse.items()})
+    held, want, month = None, [], None
+    for i in range(80):
+        ts = datetime(2020, 1, 1) + timedelta(days=i)
+        held = dict(w) if held is None or ts.month != month else held
+        month, before = ts.month, sum(held.values())
+        held = {k: v * (1 + series[k][i]) for k, v in held.items()}
+        want.append(sum(held.values()) / before - 1)
+    assert [x.ret for x in out.orderBy("ts").collect()] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        va.build_portfolio(trials, returns.where("ts < TIMESTAMP_NTZ '2020-01-10'"), F.year("ts"))

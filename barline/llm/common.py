@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import re
 import sys
 import tempfile
@@ -116,13 +115,6 @@ class Scratch:
         for path in self.paths:
             _remove_quietly(self.spark, path)
         self.paths = []
-        drop_shuffles(self.spark)
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Spark's cleaner deletes the shuffle files of plans that nothing refers to any more, once the driver has collected them: asks for that."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def words_column(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import best_fit_packing, chat_format, decontamination, line_dedup, minhash_dedup, quality_compression, quality_rules, text_statistics, token_files, toxicity_chain, url_rules
+from barline.llm import best_fit_packing, chat_format, decontamination, line_dedup, minhash_dedup, periodic_runs, quality_compression, quality_rules, simhash_dedup, text_statistics, token_files, toxicity_chain, url_rules, vector_codes
 from barline.llm.common import labelled, materialize, scratch_path, table
 from barline.llm.components import components
 
@@ -115,12 +115,24 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", last.alias("score"), earlier.alias("category_scores"), (last >= TOXIC_FROM).alias("toxic"), (last < TOXIC_FROM).alias("kept"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+
+
+def op12_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, reach=2)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_quality, op2_quality_rules, op3_best_two_fit, op4_chat_round_trip, op5_url_association, op6_minhash_near_dedup, op7_line_edit_dedup, op8_spaced_seed_decontamination, op9_simple8b_tokens, op10_toxicity_chain)}
+    return {f.__name__: f for f in (op1_compression_quality, op2_quality_rules, op3_best_two_fit, op4_chat_round_trip, op5_url_association, op6_minhash_near_dedup, op7_line_edit_dedup, op8_spaced_seed_decontamination, op9_simple8b_tokens, op10_toxicity_chain, op11_periodic_runs, op12_simhash_pigeonhole, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_round_trip": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL}
+    return {"op4_chat_round_trip": OP4_SQL, "op6_minhash_near_dedup": OP6_SQL, "op11_periodic_runs": OP11_SQL, "op13_vector_codes": op13_sql()}
 
 
 #: All pairs that share a shingle, compared on their full sets, and the least document reached from each.
@@ -152,3 +164,46 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id
 """
+
+
+#: Lags compared at each q-th word, and around three equal ones in a row at every word; crc32 is spelt out bit by bit.
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT doc_id, ws, len(ws) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS h FROM t),
+a AS (SELECT doc_id, ws, n, h % 10 = 0 AS changed, CASE WHEN n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM d),
+b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+v AS (SELECT doc_id, n, a, p, changed, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM b),
+o AS (SELECT doc_id, i, n, CASE WHEN changed AND i >= a THEN a + (i - a) % p ELSE i END AS from_i FROM v),
+u AS (SELECT o.doc_id, o.i, v.word FROM o JOIN v ON v.doc_id = o.doc_id AND v.i = o.from_i),
+l AS (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM d WHERE n >= 6),
+k AS (SELECT doc_id, n, q, unnest(range(0, (n - 1) // q)) AS k FROM l),
+s AS (SELECT k.doc_id, k.n, k.q, k.k FROM k JOIN u x ON x.doc_id = k.doc_id AND x.i = k.k * k.q JOIN u y ON y.doc_id = k.doc_id AND y.i = (k.k + 1) * k.q WHERE x.word = y.word),
+c AS (SELECT *, lead(k, 2) OVER (PARTITION BY doc_id, q ORDER BY k) = k + 2 AS three FROM s),
+g AS (SELECT doc_id, n, q, k, k - row_number() OVER (PARTITION BY doc_id, q ORDER BY k) AS island FROM c WHERE three),
+r AS (SELECT doc_id, n, q, unnest(range(greatest(0, min(k) * q - q + 1), least(n - q, max(k) * q + 3 * q))) AS i, island FROM g GROUP BY doc_id, n, q, island),
+e AS (SELECT r.doc_id, r.q, r.island, r.i FROM r JOIN u x ON x.doc_id = r.doc_id AND x.i = r.i JOIN u y ON y.doc_id = r.doc_id AND y.i = r.i + r.q WHERE x.word = y.word),
+f AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q, island ORDER BY i) AS stretch FROM e),
+w AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM f GROUP BY doc_id, q, island, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM w GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': period}, {'e': -length / period, 's': start, 'p': period}) AS best, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS text FROM u ANTI JOIN dropped x ON x.doc_id = u.doc_id AND x.i = u.i GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+def op13_sql() -> str:
+    """All distances between parts and entries, round by round."""
+    ctes = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS (SELECT vec_id, (i - 1) // (n // 4) AS part, (i - 1) % (n // 4) AS pos, v[i] AS x FROM (SELECT vec_id, v, len(v) AS n, unnest(range(1, len(v) + 1)) AS i FROM k))",
+        "f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 256)",
+        "c0 AS (SELECT part, entry, pos, x AS y FROM x JOIN f USING (vec_id))",
+    ]
+    near = lambda r: f"a{r} AS (SELECT vec_id, part, min({{'d': d, 'e': entry}}) AS m FROM (SELECT vec_id, x.part, entry, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{r} ON c{r}.part = x.part AND c{r}.pos = x.pos GROUP BY vec_id, x.part, entry) GROUP BY vec_id, part)"
+    for r in range(4):
+        ctes += [near(r), f"c{r + 1} AS (SELECT c.part, c.entry, c.pos, coalesce(m.y, c.y) AS y FROM c{r} c LEFT JOIN (SELECT x.part, a.m.e AS entry, x.pos, floor(sum(x.x) / count(*))::BIGINT AS y FROM x JOIN a{r} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL) m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos)"]
+    ctes += [near(4), "coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a4 GROUP BY vec_id)"]
+    stored = ", ".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes)
+    return f"WITH {stored} SELECT k.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c4) AS codebooks_sha256 FROM k JOIN coded ON coded.vec_id = k.vec_id"

@@ -7,12 +7,29 @@ bar's own window of ``lookback`` bars, as a fold over the window's array.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+_PARTS: ContextVar[tuple[str, ...]] = ContextVar("parts", default=("symbol",))
+
+
+@contextmanager
+def partitioned(*columns: str) -> Iterator[None]:
+    """Features built inside are windows over these columns: those of a symbol's blocks, say."""
+    token = _PARTS.set(columns)
+    try:
+        yield
+    finally:
+        _PARTS.reset(token)
+
+
 def order() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("ts")
+    return Window.partitionBy(*_PARTS.get()).orderBy("ts")
 
 
 def running() -> WindowSpec:
@@ -176,6 +193,12 @@ def growth(x: Column, k: int = 1) -> Column:
     return F.try_divide(x, F.nullif(ago(x, k), F.lit(0.0))) - 1
 
 
+def log_growth(x: Column) -> Column:
+    """Log return over a row; NULL unless both values are positive."""
+    before = ago(x, 1)
+    return F.when((x > 0) & (before > 0), F.ln(x / before))
+
+
 def sample_std(x: Column, n: int) -> Column:
     return full(x, n, F.stddev_samp(x).over(last(n)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions import features as ft
+from barline.operators import chunks as ck
 from barline.operators import rules as rl
 from barline.operators import trades as tr
 from barline.registry import Registry
@@ -24,27 +25,41 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return m.daily_bars(spark, sf)
 
 
+def daily_features(spark: SparkSession, sf: str, lookback: int, **steps: dict) -> DataFrame:
+    """symbol, ts and the columns of the last step of features on daily bars, computed block by block.
+
+    A step is a mapping of names to a function that gives a column; each step sees the columns of those before it.
+    """
+
+    def project(d: DataFrame) -> DataFrame:
+        for columns in steps.values():
+            d = d.withColumns({k: f() for k, f in columns.items()})
+        return d.select("symbol", "ts", *columns, "__own")
+
+    return ck.in_blocks(daily(spark, sf), lookback, project)
+
+
 @R.query(D + f"SELECT symbol, ts, {SMA('close', 10)} AS sma_10, {SMA('close', 50)} AS sma_50, {SMA('volume', 20)} AS volume_20 FROM bars")
 def feature_sma(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("close")
-    return daily(spark, sf).select("symbol", "ts", ft.sma(c, 10).alias("sma_10"), ft.sma(c, 50).alias("sma_50"), ft.sma(F.col("volume"), 20).alias("volume_20"))
+    return daily_features(spark, sf, 49, of={"sma_10": lambda: ft.sma(c, 10), "sma_50": lambda: ft.sma(c, 50), "volume_20": lambda: ft.sma(F.col("volume"), 20)})
 
 
 @R.query(D + f"SELECT symbol, ts, CASE WHEN count(close) OVER {W(20)} = 20 THEN max(close) OVER {W(20)} END AS high_20, CASE WHEN count(close) OVER {W(20)} = 20 THEN min(close) OVER {W(20)} END AS low_20, CASE WHEN count(low) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = 20 THEN min(low) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS donchian_20 FROM bars")
 def feature_extremes(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("close")
-    return daily(spark, sf).select("symbol", "ts", ft.rolling_max(c, 20).alias("high_20"), ft.rolling_min(c, 20).alias("low_20"), ft.donchian_low(20).alias("donchian_20"))
+    return daily_features(spark, sf, 20, of={"high_20": lambda: ft.rolling_max(c, 20), "low_20": lambda: ft.rolling_min(c, 20), "donchian_20": lambda: ft.donchian_low(20)})
 
 
 @R.query(D + f", f AS (SELECT symbol, ts, close, {SMA('close', 20)} AS mean, {STD('close', 20)} AS dev FROM bars) SELECT symbol, ts, (close - mean) / NULLIF(dev, 0) AS zscore, mean + 2.0 * dev AS upper, mean + -2.0 * dev AS lower, CASE WHEN mean > 0 AND dev > 0 THEN 4 * dev / (mean * sqrt(20.0)) END AS bandwidth FROM f")
 def feature_bands(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("close")
-    return daily(spark, sf).select("symbol", "ts", ft.zscore(c, 20).alias("zscore"), ft.bollinger(c, 20, 2.0, True).alias("upper"), ft.bollinger(c, 20, 2.0, False).alias("lower"), ft.bandwidth(c, 20).alias("bandwidth"))
+    return daily_features(spark, sf, 19, of={"zscore": lambda: ft.zscore(c, 20), "upper": lambda: ft.bollinger(c, 20, 2.0, True), "lower": lambda: ft.bollinger(c, 20, 2.0, False), "bandwidth": lambda: ft.bandwidth(c, 20)})
 
 
 @R.query(D + f", f AS (SELECT symbol, ts, {SMA('close', 10)} AS m1, {STD('close', 10)} AS d1, {SMA('close', 40)} AS m2, {STD('close', 40)} AS d2, {STD('(high - low)', 20)} AS spread FROM bars) SELECT symbol, ts, CASE WHEN m1 > 0 AND d1 > 0 THEN 4 * d1 / (m1 * sqrt(10.0)) END / CASE WHEN m2 > 0 AND d2 > 0 THEN 4 * d2 / (m2 * sqrt(40.0)) END AS band_ratio, NULLIF(spread, 0) AS spread_std FROM f")
 def feature_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return daily(spark, sf).select("symbol", "ts", ft.band_ratio(F.col("close"), 10, 40).alias("band_ratio"), ft.spread_std(F.col("high"), F.col("low"), 20).alias("spread_std"))
+    return daily_features(spark, sf, 39, of={"band_ratio": lambda: ft.band_ratio(F.col("close"), 10, 40), "spread_std": lambda: ft.spread_std(F.col("high"), F.col("low"), 20)})
 
 
 FOLD = lambda xs, n, a: f"CASE WHEN len({xs}) >= {n} THEN list_reduce({xs}[{n + 1}:], lambda acc, x: acc + {a} * (x - acc), list_reduce({xs}[1:{n}], lambda acc, x: acc + x, 0.0) / {n}) END"
@@ -53,32 +68,53 @@ FOLD = lambda xs, n, a: f"CASE WHEN len({xs}) >= {n} THEN list_reduce({xs}[{n +
 @R.query(D + f", f AS (SELECT symbol, ts, list(close) OVER {W(64)} AS xs FROM bars) SELECT symbol, ts, {FOLD('xs', 12, 2 / 13)} AS ema_12 FROM f")
 def feature_ema(spark: SparkSession, sf: str) -> DataFrame:
     """Exponential mean, restarted in each bar's window of 64 bars."""
-    return daily(spark, sf).select("symbol", "ts", ft.ema(F.col("close"), 12, 64).alias("ema_12"))
+    return daily_features(spark, sf, 63, of={"ema_12": lambda: ft.ema(F.col("close"), 12, 64)})
 
 
 @R.query(D + f", t AS (SELECT symbol, ts, greatest(high - low, abs(high - lag(close) {LAG}), abs(low - lag(close) {LAG})) AS tr FROM bars), f AS (SELECT symbol, ts, list(tr) OVER {W(64)} AS xs FROM t) SELECT symbol, ts, {FOLD('xs', 14, 1 / 14)} AS atr_14 FROM f")
 def feature_atr(spark: SparkSession, sf: str) -> DataFrame:
-    d = daily(spark, sf).withColumn("tr", ft.true_range())
-    return d.select("symbol", "ts", ft.atr_of(ft.window_array(F.col("tr"), 64), 14).alias("atr_14"))
+    return daily_features(spark, sf, 64, first={"tr": ft.true_range}, of={"atr_14": lambda: ft.atr_of(ft.window_array(F.col("tr"), 64), 14)})
 
 
 @R.query(D + f", a AS (SELECT symbol, ts, list(close) OVER {W(64)} AS c FROM bars), d AS (SELECT symbol, ts, [c[i + 1] - c[i] for i in range(1, len(c))] AS d FROM a), g AS (SELECT symbol, ts, [greatest(x, 0.0) for x in d] AS up, [greatest(-x, 0.0) for x in d] AS down FROM d), f AS (SELECT symbol, ts, {FOLD('up', 14, 1 / 14)} AS gain, {FOLD('down', 14, 1 / 14)} AS loss FROM g) SELECT symbol, ts, CASE WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / loss) END AS rsi_14 FROM f")
 def feature_rsi(spark: SparkSession, sf: str) -> DataFrame:
-    d = daily(spark, sf).withColumn("c", ft.window_array(F.col("close"), 64))
-    return d.select("symbol", "ts", ft.rsi_of(F.col("c"), 14).alias("rsi_14"))
+    return daily_features(spark, sf, 63, first={"c": lambda: ft.window_array(F.col("close"), 64)}, of={"rsi_14": lambda: ft.rsi_of(F.col("c"), 14)})
+
+
+def _seeded_sql(x: str, n: int, alpha: float, place: str = "n.ix") -> str:
+    return f"CASE WHEN {place} < {n - 1} THEN go.{x}_v + n.{x} WHEN {place} = {n - 1} THEN (go.{x}_v + n.{x}) / {n} ELSE go.{x}_v + {alpha} * (n.{x} - go.{x}_v) END"
+
+
+#: One row a symbol and step: each value from the one before it.
+FULL_SQL = f"""WITH RECURSIVE {m.DAILY_SQL},
+n AS MATERIALIZED (SELECT symbol, ts, close AS ema, greatest(high - low, abs(high - lag(close) {LAG}), abs(low - lag(close) {LAG})) AS atr, coalesce(greatest(close - lag(close) {LAG}, 0.0), 0.0) AS up, coalesce(greatest(lag(close) {LAG} - close, 0.0), 0.0) AS down, row_number() {LAG} - 1 AS ix FROM bars),
+go AS (SELECT symbol, ts, ix, ema AS ema_v, atr AS atr_v, 0.0::DOUBLE AS up_v, 0.0::DOUBLE AS down_v FROM n WHERE ix = 0
+ UNION ALL SELECT n.symbol, n.ts, n.ix, {_seeded_sql('ema', 12, 2 / 13)}, {_seeded_sql('atr', 14, 1 / 14)}, {_seeded_sql('up', 14, 1 / 14, 'n.ix - 1')}, {_seeded_sql('down', 14, 1 / 14, 'n.ix - 1')} FROM go JOIN n ON n.symbol = go.symbol AND n.ix = go.ix + 1)"""
+
+
+@R.query(FULL_SQL + " SELECT symbol, ts, CASE WHEN ix >= 13 THEN atr_v END AS atr_14 FROM go")
+def feature_atr_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Wilder's range over each symbol's whole history, by a prefix scan over blocks."""
+    return ck.full_history(daily(spark, sf), atr=(14,))
+
+
+@R.query(FULL_SQL + " SELECT symbol, ts, CASE WHEN ix >= 11 THEN ema_v END AS ema_12, CASE WHEN ix >= 14 THEN CASE WHEN down_v = 0 THEN 100.0 ELSE 100 - 100 / (1 + up_v / down_v) END END AS rsi_14 FROM go")
+def feature_recursive_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Exponential mean and Wilder's index over each symbol's whole history, by prefix scans over blocks."""
+    return ck.full_history(daily(spark, sf), ema=(12,), rsi=(14,))
 
 
 @R.query(D + f", f AS (SELECT *, {SMA('close', 5)} AS fast, {SMA('close', 20)} AS slow FROM bars) SELECT symbol, ts, coalesce(lag(fast) {LAG} <= lag(slow) {LAG} AND fast > slow, false) AS up, coalesce(lag(fast) {LAG} >= lag(slow) {LAG} AND fast < slow, false) AS down, lag(close, 3) {LAG} AS ago_3 FROM f")
 def predicate_cross(spark: SparkSession, sf: str) -> DataFrame:
-    d = daily(spark, sf).withColumn("fast", ft.sma(F.col("close"), 5)).withColumn("slow", ft.sma(F.col("close"), 20))
-    return d.select("symbol", "ts", ft.cross_up(F.col("fast"), F.col("slow")).alias("up"), ft.cross_down(F.col("fast"), F.col("slow")).alias("down"), ft.ago(F.col("close"), 3).alias("ago_3"))
+    fast, slow = F.col("fast"), F.col("slow")
+    return daily_features(spark, sf, 20, first={"fast": lambda: ft.sma(F.col("close"), 5), "slow": lambda: ft.sma(F.col("close"), 20)}, of={"up": lambda: ft.cross_up(fast, slow), "down": lambda: ft.cross_down(fast, slow), "ago_3": lambda: ft.ago(F.col("close"), 3)})
 
 
 @R.query(D + f", f AS (SELECT symbol, ts, close / NULLIF(lag(close, 5) {LAG}, 0) - 1 AS ret_5, (sign(close - lag(close, 5) {LAG}) + sign(close - lag(close, 20) {LAG}) + sign(close - lag(close, 60) {LAG})) / 3 AS momentum, (2 * close - high - low) / NULLIF(high - low, 0) AS location, CASE WHEN count(close) OVER {W(30)} = 30 THEN (close - min(low) OVER {W(30)}) / NULLIF(max(high) OVER {W(30)} - min(low) OVER {W(30)}, 0) END AS place_30 FROM bars) SELECT * FROM f")
 def feature_momentum(spark: SparkSession, sf: str) -> DataFrame:
-    c, w = F.col("close"), ft.last(30)
-    low, high = F.min("low").over(w), F.max("high").over(w)
-    return daily(spark, sf).select("symbol", "ts", (F.try_divide(c, F.nullif(ft.ago(c, 5), F.lit(0.0))) - 1).alias("ret_5"), ft.momentum_sign(c, [5, 20, 60]).alias("momentum"), ft.close_location().alias("location"), ft.full(c, 30, F.try_divide(c - low, F.nullif(high - low, F.lit(0.0)))).alias("place_30"))
+    c, low, high = F.col("close"), F.col("low_30"), F.col("high_30")
+    extremes = {"low_30": lambda: F.min("low").over(ft.last(30)), "high_30": lambda: F.max("high").over(ft.last(30))}
+    return daily_features(spark, sf, 60, first=extremes, of={"ret_5": lambda: ft.growth(c, 5), "momentum": lambda: ft.momentum_sign(c, [5, 20, 60]), "location": ft.close_location, "place_30": lambda: ft.full(c, 30, F.try_divide(c - low, F.nullif(high - low, F.lit(0.0))))})
 
 
 @R.query(D + f", f AS (SELECT symbol, ts, close < {SMA('close', 50)} AS below FROM bars) SELECT ts + INTERVAL 1 DAY AS known_ts, sum(below::BIGINT)::BIGINT AS n_below, count(below) AS n FROM f WHERE below IS NOT NULL GROUP BY ts HAVING count(below) >= 3")

@@ -10,7 +10,7 @@ from barline.functions import stats as st
 from barline.plans.alignment_queries import FUNDING, funding
 from barline.plans.analytics_queries import CONFIG_SQL, config_returns
 from barline.plans.bar_queries import asof_backward
-from barline.plans.feature_queries import SMA, STD, W
+from barline.plans.feature_queries import SMA, STD, W, daily_features
 from barline.registry import Registry
 from barline.sources import market as m
 
@@ -38,23 +38,22 @@ RANGES = D + f", tr AS (SELECT *, greatest(high - low, abs(high - lag(close) {LA
 
 @R.query(RANGES + f", a AS (SELECT symbol, ts, {_smoothed('ranges', 5)} AS fast, {_smoothed('ranges', 20)} AS slow FROM ra) SELECT symbol, ts, slow AS atr_20, CASE WHEN slow > 0 THEN fast / slow END AS atr_ratio FROM a")
 def feature_atr_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    d = daily(spark, sf).withColumn("range", ft.true_range())
-    a = d.select("symbol", "ts", ft.atr(5, 64).alias("fast"), ft.atr(20, 64).alias("slow"))
-    return a.select("symbol", "ts", F.col("slow").alias("atr_20"), F.when(F.col("slow") > 0, F.col("fast") / F.col("slow")).alias("atr_ratio"))
+    steps = {"first": {"range": ft.true_range}, "then": {"fast": lambda: ft.atr(5, 64), "slow": lambda: ft.atr(20, 64)}, "of": {"atr_20": lambda: F.col("slow"), "atr_ratio": lambda: F.when(F.col("slow") > 0, F.col("fast") / F.col("slow"))}}
+    return daily_features(spark, sf, 64, **steps)
 
 
 @R.query(RANGES + f""", d AS (SELECT symbol, ts, [closes[i + 1] - closes[i] for i in range(1, len(closes))] AS d FROM ra), p AS (SELECT symbol, ts, len(d) AS n, [greatest(x, 0.0) for x in d] AS g, [greatest(-x, 0.0) for x in d] AS l FROM d),
 a AS (SELECT symbol, ts, n, CASE WHEN n >= 1 THEN list_reduce(g, lambda v, x: v + {1 / 14} * (x - v)) END AS gain, CASE WHEN n >= 1 THEN list_reduce(l, lambda v, x: v + {1 / 14} * (x - v)) END AS loss FROM p) SELECT symbol, ts, CASE WHEN n >= 14 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / loss) END END AS rsi_ewm FROM a""")
 def feature_rsi_ewm(spark: SparkSession, sf: str) -> DataFrame:
     """The index whose averages begin with the first move of the window."""
-    return daily(spark, sf).withColumn("closes", ft.window_array(F.col("close"), 64)).select("symbol", "ts", ft.ewm_rsi(F.col("closes"), 14).alias("rsi_ewm"))
+    return daily_features(spark, sf, 63, first={"closes": lambda: ft.window_array(F.col("close"), 64)}, of={"rsi_ewm": lambda: ft.ewm_rsi(F.col("closes"), 14)})
 
 
-@R.query(GROWTH + f", v AS (SELECT symbol, ts, CASE WHEN count(ret) OVER {W(20)} = 20 THEN stddev_samp(ret) OVER {W(20)} END AS vol FROM growth) SELECT symbol, ts, CASE WHEN count(vol) OVER {W(60)} >= 20 THEN vol / NULLIF(quantile_cont(vol, 0.5) OVER {W(60)}, 0) END AS vol_ratio FROM v")
+@R.query(D + f", r AS (SELECT symbol, ts, CASE WHEN close > 0 AND lag(close) {LAG} > 0 THEN ln(close / lag(close) {LAG}) END AS ret FROM bars), v AS (SELECT symbol, ts, CASE WHEN count(ret) OVER {W(20)} = 20 THEN stddev_samp(ret) OVER {W(20)} END AS vol FROM r) SELECT symbol, ts, CASE WHEN count(vol) OVER {W(60)} >= 20 THEN vol / NULLIF(quantile_cont(vol, 0.5) OVER {W(60)}, 0) END AS vol_ratio FROM v")
 def feature_vol_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Realised deviation against its trailing median."""
-    v = growth(spark, sf).withColumn("vol", ft.sample_std(F.col("ret"), 20))
-    return v.select("symbol", "ts", ft.over_median(F.col("vol"), 60).alias("vol_ratio"))
+    """Deviation of log returns against its trailing median; NULL returns where a price isn't positive."""
+    steps = {"first": {"ret": lambda: ft.log_growth(F.col("close"))}, "then": {"vol": lambda: ft.sample_std(F.col("ret"), 20)}, "of": {"vol_ratio": lambda: ft.over_median(F.col("vol"), 60)}}
+    return daily_features(spark, sf, 80, **steps)
 
 
 @R.query(D + f", r AS (SELECT symbol, ts, close / NULLIF(lag(close, 7) {LAG}, 0) - 1 AS week, close / NULLIF(lag(close, 30) {LAG}, 0) - 1 AS month FROM bars) SELECT a.symbol, a.ts, a.week, a.month, a.week - b.week AS week_relative, coalesce(a.month - b.month < 0, false) AS month_weak FROM r a LEFT JOIN r b ON a.ts = b.ts AND b.symbol = 'AF'")

@@ -29,24 +29,28 @@ def span_of(ts: Column, days: int) -> Column:
     return F.floor(F.datediff(ts, F.lit("1970-01-01").cast("date")) / days).cast("bigint")
 
 
-def numbered(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", days: int = SPAN_DAYS) -> DataFrame:
+def numbered(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", days: int = SPAN_DAYS, total: str | None = None) -> DataFrame:
     """``rows`` with row_ix, the row's number in its series from 0, without a task that holds a whole series.
 
-    Times must be unique within a series.
+    Times must be unique within a series. ``total``: a column for the number of rows of the series.
     """
     spanned = rows.withColumn("__span", span_of(F.col(ts), days))
     counts = spanned.groupBy(*keys, "__span").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*keys, "__span", F.coalesce(before, F.lit(0)).alias("__before"))
+    also = [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    starts = counts.select(*keys, "__span", F.coalesce(before, F.lit(0)).alias("__before"), *also)
     # Rows already dealt by series would satisfy a window over series and span: deal them by both.
     within = spanned.repartition(*keys, "__span").withColumn("__within", F.row_number().over(Window.partitionBy(*keys, "__span").orderBy(ts)))
     return within.join(starts, [*keys, "__span"]).withColumn("row_ix", (F.col("__before") + F.col("__within") - 1).cast("bigint")).drop("__span", "__before", "__within")
 
 
-def blocks(numbered_rows: DataFrame, lookback: int, block: int = BLOCK, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Rows of :func:`numbered` in their own block and, up to ``lookback`` rows, in later ones that look back on them: block, own."""
-    first, last = F.floor(F.col("row_ix") / block).cast("bigint"), F.floor((F.col("row_ix") + lookback) / block).cast("bigint")
-    return numbered_rows.withColumn("block", F.explode(F.sequence(first, last))).withColumn("own", F.col("block") == first).repartition(*keys, "block")
+def blocks(numbered_rows: DataFrame, lookback: int, block: int = BLOCK, keys: tuple[str, ...] = ("symbol",), ahead: int = 0) -> DataFrame:
+    """Rows of :func:`numbered` in their own block, in later ones that look back on them (up to ``lookback`` rows) and in earlier ones that look ahead to them: block, own."""
+    of = lambda ix: F.floor(ix / block).cast("bigint")
+    ix = F.col("row_ix")
+    cut = numbered_rows.withColumn("block", F.explode(F.sequence(of(F.greatest(ix - ahead, F.lit(0))), of(ix + lookback))))
+    # A stated number of tasks: rows are few bytes for the work that windows do on them, so tasks by size would be too few.
+    return cut.withColumn("own", F.col("block") == of(ix)).repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "block")
 
 
 def in_blocks(rows: DataFrame, lookback: int, feature: Callable[[DataFrame], DataFrame], block: int = BLOCK, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.operators import config_grid as cg
 from barline.operators import strategies as so
 from barline.operators.strategies import Setup
 from barline.plans.feature_queries import SMA, STD, W
@@ -168,9 +169,41 @@ def _grid_sql() -> str:
 
 @R.query(_grid_sql())
 def strategy_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcomes of a grid of setups over both sides and modes."""
-    out = None
-    for i, s in enumerate(GRID):
-        t = so.trades_of(m.daily_bars(spark, sf), s).groupBy("outcome").agg(F.count("*").alias("n_trades"), F.sum(F.col("exit_ix") - F.col("entry_ix")).alias("bars_held"), F.max("gross_r").alias("best"), F.min("gross_r").alias("worst")).select(F.lit(i).cast("bigint").alias("config_id"), "*")
-        out = t if out is None else out.unionByName(t)
-    return out
+    """Outcomes of a grid of setups over both sides and modes: configurations are rows, the bars are read once."""
+    return cg.totals(cg.trades(m.daily_bars(spark, sf), GRID))
+
+
+#: Two hundred configurations; a level of an index is a knob that may be off.
+CONFIGS = tuple(
+    Setup(f"{mode}_{side}_{w}_{tp}_{rsi}", side, mode, w, 1.0, rsi_window=rsi, rsi_level=50.0, take_profit=tp)
+    for mode in ("breakout", "returning") for side in (1, -1) for w in (10, 15, 20, 30, 40) for tp in (1.0, 1.5, 2.0, 3.0, 4.0) for rsi in (None, 7)
+)
+
+
+def _configs_sql() -> str:
+    """Configurations as a relation, joined with the bars by their band; then with the bars of their holding time."""
+    rows = ", ".join(f"({i}, {s.side}, '{s.mode}', {s.window}, {s.take_profit}, {'true' if s.rsi_window else 'false'})" for i, s in enumerate(CONFIGS))
+    windows = sorted({s.window for s in CONFIGS})
+    bands = ", ".join(f"({SMA('close', w)}) + 1.0 * ({STD('close', w)}) AS up{w}, ({SMA('close', w)}) + -1.0 * ({STD('close', w)}) AS low{w}" for w in windows)
+    per_band = " UNION ALL ".join(f"SELECT symbol, bar_ix, last_ix, close, before, rsi, {w} AS w, up{w} AS upper, low{w} AS lower FROM b3" for w in windows)
+    a = 1 / 7
+    return f"""WITH {m.WIDE_SQL}, g(config_id, side, mode, w, tp, has_rsi) AS (VALUES {rows}),
+b0 AS (SELECT *, row_number() {LAG} - 1 AS bar_ix, lag(close) {LAG} AS before, list(close) OVER {W(so.LOOKBACK)} AS closes, {bands} FROM bars),
+b1 AS (SELECT *, max(bar_ix) OVER (PARTITION BY symbol) AS last_ix, [closes[i + 1] - closes[i] for i in range(1, len(closes))] AS moves FROM b0),
+b2 AS (SELECT *, {_fold('[greatest(x, 0.0) for x in moves]', a, '0.0')} AS gain, {_fold('[greatest(-x, 0.0) for x in moves]', a, '0.0')} AS loss FROM b1),
+b3 AS MATERIALIZED (SELECT *, CASE WHEN len(moves) >= 6 THEN CASE WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / loss) END END AS rsi FROM b2),
+f AS ({per_band}),
+s AS (SELECT g.*, f.symbol, f.bar_ix AS entry_ix, f.close AS entry_price, f.last_ix, CASE WHEN mode <> 'breakout' THEN upper - lower WHEN side > 0 THEN close - lower ELSE upper - close END AS risk FROM f JOIN g USING (w) WHERE f.bar_ix < f.last_ix
+ AND CASE WHEN mode = 'breakout' AND side > 0 THEN before < upper AND close > upper WHEN mode = 'breakout' THEN before > lower AND close < lower WHEN side > 0 THEN before < lower AND close > lower ELSE before > upper AND close < upper END
+ AND (NOT has_rsi OR coalesce(CASE WHEN (side > 0) = (mode = 'breakout') THEN rsi > 50.0 ELSE rsi < 50.0 END, false))),
+c AS (SELECT *, entry_price - side * risk AS stop, entry_price + side * tp * risk AS target FROM s WHERE entry_price > 0 AND risk > 0 AND {so.ENTRY_FEE} * entry_price <= {so.MOST_FEE} * risk),
+p AS (SELECT c.*, b.bar_ix AS now_ix, b.close, CASE WHEN b.bar_ix - entry_ix >= 20 THEN 'timeout' WHEN CASE WHEN side > 0 THEN b.low <= stop ELSE b.high > stop END THEN 'stop' WHEN CASE WHEN side > 0 THEN b.high >= target ELSE b.low < target END THEN 'target' WHEN b.bar_ix = c.last_ix THEN 'end' END AS outcome
+ FROM c JOIN b3 b ON b.symbol = c.symbol AND b.bar_ix > c.entry_ix AND b.bar_ix <= c.entry_ix + 20),
+x AS (SELECT config_id, symbol, entry_ix, arg_min({{'now_ix': now_ix, 'outcome': outcome, 'r': CASE outcome WHEN 'stop' THEN -1.0 WHEN 'target' THEN tp::DOUBLE ELSE side * (close - entry_price) / risk END}}, now_ix) AS e FROM p WHERE outcome IS NOT NULL GROUP BY config_id, symbol, entry_ix)
+SELECT config_id::BIGINT AS config_id, e.outcome AS outcome, count(*) AS n_trades, sum(e.now_ix - entry_ix)::BIGINT AS bars_held, max(e.r) AS best, min(e.r) AS worst FROM x GROUP BY config_id, e.outcome"""
+
+
+@R.query(_configs_sql())
+def strategy_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of two hundred configurations over 42 symbols in one plan with one scan."""
+    return cg.totals(cg.trades(m.wide_bars(spark, sf), CONFIGS))

@@ -53,6 +53,12 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(event_ticks(spark, sf_dir), F.date_trunc("hour", "ts").cast("timestamp_ntz"))
 
 
+def wide_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of six times seven symbols: line items by flag, status and line number."""
+    ticks = trade_ticks(spark, sf_dir).withColumn("symbol", F.concat("symbol", F.col("seq.l_linenumber").cast("string")))
+    return bars(ticks, F.date_trunc("day", "ts").cast("timestamp_ntz"))
+
+
 def resample(fine: DataFrame, bucket: Column) -> DataFrame:
     """Coarser bars from bars: first open, extreme highs and lows, last close, summed volume."""
     return fine.groupBy("symbol", bucket.alias("bucket")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("bucket", "ts")
@@ -94,3 +100,4 @@ DAILY_SQL = f"""{TRADE_TICKS_SQL}, bars AS (
 HOURLY_SQL = """event_ticks AS (SELECT event_type AS symbol, ts, floor(value * 100) AS price, 1.0::DOUBLE AS volume, event_id FROM events),
 hours AS (SELECT symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
     last(price ORDER BY ts, event_id) AS close, sum(volume) AS volume FROM event_ticks GROUP BY symbol, date_trunc('hour', ts)::TIMESTAMP)"""
+WIDE_SQL = DAILY_SQL.replace("l_returnflag || l_linestatus AS symbol", "l_returnflag || l_linestatus || l_linenumber AS symbol")

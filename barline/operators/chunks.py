@@ -29,18 +29,20 @@ def span_of(ts: Column, days: int) -> Column:
     return F.floor(F.datediff(ts, F.lit("1970-01-01").cast("date")) / days).cast("bigint")
 
 
-def numbered(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", days: int = SPAN_DAYS, total: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", days: int = SPAN_DAYS, total: str | None = None, ties: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
     """``rows`` with row_ix, the row's number in its series from 0, without a task that holds a whole series.
 
-    Times must be unique within a series. ``total``: a column for the number of rows of the series.
+    Rows of a series are ordered by time and, at equal times, by ``ties``; ``descending``: from the latest time on (ties
+    in their own order). ``total``: a column for the number of rows of the series.
     """
+    turn = (lambda c: c.desc()) if descending else (lambda c: c)
     spanned = rows.withColumn("__span", span_of(F.col(ts), days))
     counts = spanned.groupBy(*keys, "__span").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(turn(F.col("__span"))).rowsBetween(Window.unboundedPreceding, -1))
     also = [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []
     starts = counts.select(*keys, "__span", F.coalesce(before, F.lit(0)).alias("__before"), *also)
     # Rows already dealt by series would satisfy a window over series and span: deal them by both.
-    within = spanned.repartition(*keys, "__span").withColumn("__within", F.row_number().over(Window.partitionBy(*keys, "__span").orderBy(ts)))
+    within = spanned.repartition(*keys, "__span").withColumn("__within", F.row_number().over(Window.partitionBy(*keys, "__span").orderBy(turn(F.col(ts)), *ties)))
     return within.join(starts, [*keys, "__span"]).withColumn("row_ix", (F.col("__before") + F.col("__within") - 1).cast("bigint")).drop("__span", "__before", "__within")
 
 
@@ -67,6 +69,19 @@ def in_blocks(rows: DataFrame, lookback: int, feature: Callable[[DataFrame], Dat
     return done.where("__own").drop("__own", "own", "block", "row_ix")
 
 
+def filled(cut: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``cut`` (rows of one block each, with block and row_ix) with NULLs of ``columns`` replaced by the last value before them in the series.
+
+    Within a block by a window; the last values of each block, one row a block, are carried over the borders.
+    """
+    over = Window.partitionBy(*keys, "block").orderBy("row_ix").rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({c: F.last(c, ignorenulls=True).over(over) for c in columns})
+    ends = cut.groupBy(*keys, "block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row_ix"))).alias(f"__{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "block", *[F.last(f"__{c}", ignorenulls=True).over(earlier).alias(f"__{c}") for c in columns])
+    return local.join(carried, [*keys, "block"]).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
 def _held(steps: DataFrame, by: list[str], order: str, others: list[str]) -> DataFrame:
     """``by`` and rows: the rows of a group in order, as an array."""
     return steps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, *others))).alias("rows"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from barline.functions import features as ft
 from barline.operators import alignment as al
+from barline.operators import chunks as ck
+from barline.operators.asof import asof_join
 from barline.registry import Registry
 from barline.sources import market as m
 
@@ -202,3 +204,22 @@ def shuffled_blocks(spark: SparkSession, sf: str) -> DataFrame:
     k = m.daily_bars(spark, sf).select("symbol", "ts", "close", F.ntile(10).over(ft.order()).alias("block"))
     digest = F.md5(F.concat(F.lit("3:"), F.col("symbol"), F.col("block").cast("string")))
     return k.select("symbol", "ts", "close", (F.row_number().over(Window.partitionBy("symbol").orderBy(digest, "ts")) - 1).cast("bigint").alias("shuffled_ix"))
+
+
+_SIDES = "p AS (SELECT ts AS known, value AS last_value FROM events WHERE event_type = 'purchase')"
+
+
+@R.query(f"WITH {_SIDES} SELECT e.event_id, e.ts, p.known, p.last_value FROM events e ASOF LEFT JOIN p ON e.ts >= p.known")
+def asof_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event with the last purchase at or before it: raw times, no key, no grid, no range join."""
+    e = m.read(spark, sf, "events")
+    bought = e.where("event_type = 'purchase'").select(F.col("ts").alias("known"), F.col("value").alias("last_value"))
+    return asof_join(e.select("event_id", "ts"), bought, (), "ts", "known", ["last_value"], days=1)
+
+
+@R.query("WITH b AS (SELECT user_id % 50 AS k, ts AS closes, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts) AS bar_ix FROM events WHERE event_type = 'purchase') SELECT e.event_id, b.closes, b.bar_ix::BIGINT AS bar_ix FROM (SELECT event_id, ts, user_id % 50 AS k FROM events) e ASOF LEFT JOIN b ON e.k = b.k AND e.ts <= b.closes")
+def point_to_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event's bar, where a bar ends with a purchase of its group: intervals of no common length."""
+    e = m.read(spark, sf, "events").select("event_id", "event_type", "ts", (F.col("user_id") % 50).alias("k"))
+    ends = ck.numbered(e.where("event_type = 'purchase'").select("k", "ts"), ("k",), days=1).select("k", F.col("ts").alias("closes"), (F.col("row_ix") + 1).alias("bar_ix"))
+    return asof_join(e.select("event_id", "ts", "k"), ends, ("k",), "ts", "closes", ["bar_ix"], "forward", days=1).select("event_id", "closes", "bar_ix")

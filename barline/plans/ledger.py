@@ -1,21 +1,28 @@
-"""An append-only research ledger as Parquet relations: checked appends and the views over them.
+"""An append-only research ledger as Parquet relations: a commit log, checked appends and the views over them.
 
-Rows are never changed or deleted. ``append`` validates a batch against what is
-there (anti-joins) and writes it; one writer at a time.
+Rows are never changed or deleted. A batch is written to a folder of its own and then
+committed by creating the next version's entry in the log, which exactly one writer can
+create. Keys, parents, budgets and states are checked against the version that the commit follows; a writer who
+loses a version checks again against the new one. Readers see what a version names and nothing else.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tables and their keys.
-KEYS = {"campaigns": ["campaign_id"], "trials": ["trial_id"], "gate_results": ["trial_id", "gate", "run"], "clusters": ["run", "trial_id"], "events": ["event_id"], "holdout_claims": ["claim_id"], "abandonments": ["campaign_id"]}
+KEYS = {"campaigns": ["campaign_id"], "trials": ["trial_id"], "gate_results": ["trial_id", "gate", "run"], "clusters": ["run", "trial_id"], "events": ["event_id"], "holdout_claims": ["claim_id"], "abandonments": ["campaign_id"], "states": ["campaign_id", "state"]}
 #: Foreign keys: column of a table, table that must have it.
-REFERENCES = {"trials": [("campaign_id", "campaigns")], "gate_results": [("trial_id", "trials")], "clusters": [("trial_id", "trials")], "holdout_claims": [("campaign_id", "campaigns")], "abandonments": [("campaign_id", "campaigns")]}
+REFERENCES = {"trials": [("campaign_id", "campaigns")], "gate_results": [("trial_id", "trials")], "clusters": [("trial_id", "trials")], "holdout_claims": [("campaign_id", "campaigns")], "abandonments": [("campaign_id", "campaigns")], "states": [("campaign_id", "campaigns")]}
+#: Attempts at a version before a writer gives up.
+ATTEMPTS = 20
 
 
 class LedgerError(ValueError):
@@ -27,28 +34,194 @@ class Ledger:
     spark: SparkSession
     folder: str
 
-    def table(self, name: str) -> DataFrame | None:
+    # -- the log
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _put_if_absent(self, name: str, text: str) -> bool:
+        """Creates a file with its whole content, unless there is one of that name."""
+        jvm, target, part = self.spark.sparkContext._jvm, self._path(name), self._path(f"{name}.{uuid.uuid4().hex}")
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs = target.getFileSystem(conf)
+        out = fs.create(part, False)
+        out.write(text.encode())
+        out.close()
         try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
+            if fs.getScheme() == "file":  # a hard link fails where there is a file; the others' rename does
+                os.link(part.toUri().getPath(), target.toUri().getPath())
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                context.rename(part, target, options)
+            return True
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            fs.delete(part, False)
+
+    def log(self) -> list[dict]:
+        """Commits in order; the version of the first one is 1."""
+        folder = self._path("_log")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            return []
+        rows = self.spark.read.text([f"{self.folder}/_log/{n}" for n in names], wholetext=True).collect()
+        found = sorted((json.loads(r.value) for r in rows), key=lambda c: c["version"])
+        if [c["version"] for c in found] != list(range(1, len(found) + 1)):
+            raise LedgerError("the log has a hole")
+        return found
+
+    def commit(self, entry: dict, allowed) -> int:
+        """Commits ``entry`` as the next version once ``allowed(log)`` has raised nothing for the version before it."""
+        for _ in range(ATTEMPTS):
+            log = self.log()
+            allowed(log)
+            version = len(log) + 1
+            if self._put_if_absent(f"_log/{version:012d}.json", json.dumps({**entry, "version": version}, sort_keys=True)):
+                return version
+        raise LedgerError("other writers kept committing first")
+
+    # -- tables
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Adds rows; refuses repeated keys, missing parents and, for trials, frozen or abandoned campaigns."""
+    def table(self, name: str, log: list[dict] | None = None, version: int | None = None) -> DataFrame | None:
+        """A table as of a version (the last one); None where nothing was ever appended.
+
+        Columns that a later migration added are there for earlier rows too, filled in by the migration's expression.
+        """
+        log = (self.log() if log is None else log)[:version]
+        later = [(c["version"], m) for c in log if (m := c.get("migration")) and m["table"] == name]
+        parts = []
+        for c in log:
+            if c.get("table") == name:
+                part = self.spark.read.parquet(f"{self.folder}/{c['data']}")
+                for at, m in later:
+                    if at > c["version"] and m["column"] not in part.columns:
+                        part = part.withColumn(m["column"], F.expr(m["expression"]))
+                parts.append(part)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def _refuse(self, name: str, rows: DataFrame, log: list[dict]) -> None:
+        some = lambda d: bool(d.limit(1).count())
         keys = KEYS[name]
-        if rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+        if some(rows.groupBy(*keys).count().where("count > 1")):
             raise LedgerError(f"repeated keys in the batch for {name}")
-        there = self.table(name)
-        if there is not None and rows.join(there.select(*keys), keys, "left_semi").limit(1).count():
+        there = self.table(name, log)
+        if there is not None and some(rows.join(there.select(*keys), keys, "left_semi")):
             raise LedgerError(f"{name} has such a key; rows are never replaced")
         for column, parent in REFERENCES.get(name, []):
-            known = self.table(parent)
-            if known is None or rows.join(known.select(column), column, "left_anti").limit(1).count():
+            known = self.table(parent, log)
+            if known is None or some(rows.join(known.select(column), column, "left_anti")):
                 raise LedgerError(f"{name}.{column} names no row of {parent}")
-        gone = self.table("abandonments")
-        if name == "trials" and gone is not None and rows.join(gone, "campaign_id", "left_semi").limit(1).count():
-            raise LedgerError("the campaign was abandoned")
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+        if name == "trials":
+            self._refuse_trials(rows, there, log)
+        if name in ("states", "holdout_claims", "abandonments"):
+            self._refuse_state(name, rows, log)
+
+    def states(self, log: list[dict]) -> DataFrame:
+        """campaign_id, state: BURNED, ABANDONED, FROZEN or OPEN."""
+        campaigns, moved, gone = (self.table(t, log) for t in ("campaigns", "states", "abandonments"))
+        d = campaigns.select("campaign_id")
+        flags = [] if moved is None else [moved.select("campaign_id", "state")]
+        flags += [] if gone is None else [gone.select("campaign_id", F.lit("ABANDONED").alias("state"))]
+        if not flags:
+            return d.withColumn("state", F.lit("OPEN"))
+        order = {"BURNED": 3, "ABANDONED": 2, "FROZEN": 1}
+        rank = F.coalesce(*[F.when(F.col("state") == k, v) for k, v in order.items()])
+        last = reduce(DataFrame.unionByName, flags).groupBy("campaign_id").agg(F.max_by("state", rank).alias("state"))
+        return d.join(last, "campaign_id", "left").select("campaign_id", F.coalesce("state", F.lit("OPEN")).alias("state"))
+
+    def _refuse_trials(self, rows: DataFrame, there: DataFrame | None, log: list[dict]) -> None:
+        named = rows.groupBy("campaign_id").agg(F.count("*").alias("n"))
+        closed = named.join(self.states(log).where("state <> 'OPEN'"), "campaign_id").first()
+        if closed is not None:
+            raise LedgerError(f"campaign {closed.campaign_id} is {closed.state}: it was frozen or abandoned")
+        budgets = self.table("campaigns", log)
+        if "trial_budget" in budgets.columns:
+            before = None if there is None else there.groupBy("campaign_id").agg(F.count("*").alias("before"))
+            n = named if before is None else named.join(before, "campaign_id", "left")
+            total = F.col("n") + (F.lit(0) if before is None else F.coalesce("before", F.lit(0)))
+            over = n.join(budgets.select("campaign_id", "trial_budget"), "campaign_id").where(total > F.col("trial_budget")).first()
+            if over is not None:
+                raise LedgerError(f"campaign {over.campaign_id} would pass its budget of {over.trial_budget} trials")
+
+    def _refuse_state(self, name: str, rows: DataFrame, log: list[dict]) -> None:
+        """Campaigns move from OPEN to FROZEN to BURNED; a holdout opens for a FROZEN one alone, and is burned by its claim; BURNED ones aren't abandoned."""
+        now = rows.join(self.states(log).withColumnRenamed("state", "now"), "campaign_id")
+        if name == "states":
+            step = ((F.col("state") == "FROZEN") & (F.col("now") == "OPEN")) | ((F.col("state") == "BURNED") & (F.col("now") == "FROZEN"))
+            bad = now.where(~F.coalesce(step, F.lit(False))).first()
+            if bad is not None:
+                raise LedgerError(f"campaign {bad.campaign_id} doesn't move from {bad.now} to {bad.state}")
+            claims = self.table("holdout_claims", log)
+            burned = rows.where("state = 'BURNED'")
+            unclaimed = burned if claims is None else burned.join(claims, "campaign_id", "left_anti")
+            if unclaimed.limit(1).count():
+                raise LedgerError("a campaign burns by its holdout's claim")
+        elif name == "holdout_claims":
+            bad = now.where("now <> 'FROZEN'").first()
+            if bad is not None:
+                raise LedgerError(f"the holdout of {bad.campaign_id} opens only once it is FROZEN; it is {bad.now}")
+            there = self.table(name, log)
+            if there is not None:
+                other = there.select(F.col("claim_id").alias("other"), "first_month", "end_month")
+                months = lambda d, c: d.select(c, F.explode(F.sequence("first_month", F.col("end_month") - 1)).alias("month"))
+                hit = months(rows, "claim_id").join(months(other, "other"), "month").first()
+                if hit is not None:
+                    raise LedgerError(f"claim {hit.claim_id} overlaps claim {hit.other}: a holdout is read once")
+        elif now.where("now IN ('BURNED', 'ABANDONED')").limit(1).count():
+            raise LedgerError("the campaign has ended")
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Adds rows and returns the version; refuses repeated keys, missing parents, and what a campaign's state or budget doesn't allow."""
+        data = f"{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{data}")
+        staged = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{data}")
+        try:
+            return self.commit({"table": name, "data": data}, lambda log: self._refuse(name, staged, log))
+        except Exception:
+            path = self._path(data)  # never committed: no version names it
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            raise
+
+    def migrate(self, table: str, column: str, expression: str) -> int:
+        """Adds a column: rows of versions before it get ``expression`` of their own columns. A column is added once."""
+
+        def allowed(log: list[dict]) -> None:
+            if any(c.get("migration", {}).get("table") == table and c["migration"]["column"] == column for c in log):
+                raise LedgerError(f"{table}.{column} was added before")
+            there = self.table(table, log)
+            if there is not None:
+                there.select(F.expr(expression))  # refuses what doesn't resolve
+
+        return self.commit({"migration": {"table": table, "column": column, "expression": expression}}, allowed)
+
+    def _one(self, name: str, **values) -> int:
+        return self.append(name, self.spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'bigint' if isinstance(v, int) else 'string'}" for k, v in values.items())))
+
+    def freeze(self, campaign_id) -> int:
+        return self._one("states", campaign_id=campaign_id, state="FROZEN")
+
+    def claim_holdout(self, claim_id: str, campaign_id, first_month: int, end_month: int) -> int:
+        """Claims the half-open range of months as the campaign's holdout."""
+        if end_month <= first_month:
+            raise LedgerError("the range holds no month")
+        return self._one("holdout_claims", claim_id=claim_id, campaign_id=campaign_id, first_month=first_month, end_month=end_month)
+
+    def burn(self, campaign_id) -> int:
+        return self._one("states", campaign_id=campaign_id, state="BURNED")
+
+    def abandon(self, campaign_id, reason: str) -> int:
+        return self._one("abandonments", campaign_id=campaign_id, reason=reason)
 
 
 def trial_stats(trials: DataFrame, clusters: DataFrame) -> DataFrame:

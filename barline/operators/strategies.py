@@ -135,11 +135,11 @@ def entry(s: Setup) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def candidates(featured: DataFrame, s: Setup) -> DataFrame:
-    """symbol, entry_ix, entry_price, risk, stop, target of each signal that may be traded."""
+def candidates(featured: DataFrame, s: Setup, every: bool = False) -> DataFrame:
+    """symbol, entry_ix, entry_price, risk, stop, target of each signal that may be traded; ``every``: of each bar that could be one."""
     c, up, low = F.col("close"), F.col("upper"), F.col("lower")
     base = (c - low if s.side > 0 else up - c) if s.mode == "breakout" else up - low
-    d = featured.where(entry(s)).where("bar_ix < last_ix").select("symbol", F.col("bar_ix").alias("entry_ix"), c.alias("entry_price"), (base * s.stop_multiple).alias("risk"), ((up + low) / 2).alias("middle"), "last_ix")
+    d = featured.where(F.lit(True) if every else entry(s)).where("bar_ix < last_ix").select("symbol", F.col("bar_ix").alias("entry_ix"), c.alias("entry_price"), (base * s.stop_multiple).alias("risk"), ((up + low) / 2).alias("middle"), "last_ix")
     d = d.where((F.col("entry_price") > 0) & (F.col("risk") > 0)).where(ENTRY_FEE * F.col("entry_price") <= MOST_FEE * F.col("risk"))
     price, risk = F.col("entry_price"), F.col("risk")
     target = F.col("middle") if s.take_profit < 0 else (price + s.side * s.take_profit * risk if s.take_profit > 0 else F.lit(None).cast("double"))
@@ -220,3 +220,23 @@ def taken(trades: DataFrame, most_open: int | None) -> DataFrame:
 def trades_of(bars: DataFrame, s: Setup) -> DataFrame:
     featured = with_features(bars, s)
     return taken(exits(featured, candidates(featured, s), s), s.most_open)
+
+
+def random_entries(bars: DataFrame, s: Setup, runs: int, seed: str = "entries") -> DataFrame:
+    """symbol, n_trades, mean_r, n_runs, null_mean, percentile: a setup's trades against entries at random.
+
+    Each run enters on any bar whose trade the setup's risk allows, with the probability that gives as many
+    entries as the setup has; stop, target, exits and fees are the setup's. A draw is a digest of the seed, the run, the symbol and the
+    bar's number, so it's the same on any layout. Outcomes of all bars are resolved once for all runs. percentile:
+    share of runs (with entries) whose mean is below the setup's. Any number of positions may be open.
+    """
+    featured = with_features(bars, s)
+    hits = featured.where(entry(s)).select("symbol", F.col("bar_ix").alias("entry_ix"), F.lit(True).alias("real"))
+    done = exits(featured, candidates(featured, s, every=True), s).join(hits, ["symbol", "entry_ix"], "left").select("symbol", "entry_ix", "net_r", F.coalesce("real", F.lit(False)).alias("real"))
+    real = done.groupBy("symbol").agg(F.count_if("real").alias("n_trades"), F.avg(F.when(F.col("real"), F.col("net_r"))).alias("mean_r"), (F.count_if("real") / F.count("*")).alias("p"))
+    drawn = done.join(real, "symbol").withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("run"), F.col("symbol"), F.col("entry_ix")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    nulls = drawn.where(draw < F.col("p")).groupBy("symbol", "run").agg(F.avg("net_r").alias("null_r"))
+    told = nulls.join(real.select("symbol", F.col("mean_r").alias("r")), "symbol").groupBy("symbol").agg(F.count("*").alias("n_runs"), F.avg("null_r").alias("null_mean"), (F.count_if(F.col("null_r") < F.col("r")) / F.count("*")).alias("percentile"))
+    return real.join(told, "symbol").select("symbol", "n_trades", "mean_r", "n_runs", "null_mean", "percentile")

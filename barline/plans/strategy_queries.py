@@ -62,8 +62,8 @@ def _band(x: str, n: int) -> str:
     return f"CASE WHEN ({SMA(x, n)}) > 0 AND ({STD(x, n)}) > 0 THEN 4 * ({STD(x, n)}) / (({SMA(x, n)}) * sqrt({float(n)})) END"
 
 
-def setup_sql(s: Setup) -> str:
-    """The trades of a setup, before any limit on open positions, as relation ``trades``; features in steps."""
+def setup_sql(s: Setup, every: bool = False) -> str:
+    """The trades of a setup, before any limit on open positions, as relation ``trades``; features in steps. ``every``: of each bar, with ``real`` for the setup's own."""
     steps = [f"""b0 AS (SELECT *, row_number() {LAG} - 1 AS bar_ix, ({SMA('close', s.window)}) + {s.deviations} * ({STD('close', s.window)}) AS upper, ({SMA('close', s.window)}) + {-s.deviations} * ({STD('close', s.window)}) AS lower, lag(close) {LAG} AS before,
   greatest(high - low, abs(high - lag(close) {LAG}), abs(low - lag(close) {LAG})) AS range, close - lag(close) {LAG} AS move, list(close) OVER {W(so.LOOKBACK)} AS closes FROM bars)"""]
 
@@ -124,7 +124,7 @@ def setup_sql(s: Setup) -> str:
     gross = f"CASE outcome WHEN 'stop' THEN -1.0 WHEN 'trail' THEN {side} * (stop_now - entry_price) / risk WHEN 'target' THEN {f'{side} * (target - entry_price) / risk' if s.take_profit < 0 else float(s.take_profit)} ELSE {market} END"
     f = f"b{len(steps) - 1}"
     return f"""WITH RECURSIVE {m.DAILY_SQL}, {', '.join(steps)},
-c0 AS (SELECT symbol, bar_ix AS entry_ix, close AS entry_price, ({base}) * {s.stop_multiple} AS risk, (upper + lower) / 2 AS middle, last_ix FROM {f} WHERE coalesce({' AND '.join(hit)}, false) AND bar_ix < last_ix),
+c0 AS (SELECT symbol, bar_ix AS entry_ix, close AS entry_price, ({base}) * {s.stop_multiple} AS risk, (upper + lower) / 2 AS middle, last_ix, coalesce({' AND '.join(hit)}, false) AS real FROM {f} WHERE bar_ix < last_ix{'' if every else ' AND real'}),
 c1 AS (SELECT *, entry_price - {side} * risk AS stop, {target} AS target FROM c0 WHERE entry_price > 0 AND risk > 0 AND {so.ENTRY_FEE} * entry_price <= {so.MOST_FEE} * risk),
 c2 AS (SELECT * FROM c1{f' WHERE {side} * (target - entry_price) > 0' if s.take_profit < 0 else ''}),
 p0 AS (SELECT c.*, f.bar_ix AS now_ix, f.high, f.low, f.close, f.upper AS upper_now, f.lower AS lower_now{''.join(f', f.{k}' for k in keep)} FROM c2 c JOIN {f} f ON f.symbol = c.symbol AND f.bar_ix > c.entry_ix AND f.bar_ix <= c.entry_ix + {s.hold}),
@@ -133,7 +133,7 @@ p2 AS (SELECT *, {stop_now} AS stop_now FROM p1),
 p3 AS (SELECT *, CASE WHEN now_ix - entry_ix >= {s.hold} THEN 'timeout' WHEN {stopped} THEN CASE WHEN stop_now = stop THEN 'stop' ELSE 'trail' END WHEN {reached} THEN 'target' WHEN now_ix = last_ix THEN 'end' WHEN coalesce({leaves}, false) THEN 'exit_{s.exit_rule}' END AS outcome FROM p2),
 x AS (SELECT * FROM p3 WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, entry_ix ORDER BY now_ix) = 1),
 g AS (SELECT *, {gross} AS gross_r, {so.ENTRY_FEE} * entry_price / risk + {so.HOLDING_FEE} * ((now_ix - entry_ix) / {s.fee_bars}) * entry_price / risk AS fees FROM x),
-trades AS (SELECT symbol, entry_ix, entry_price, risk, now_ix AS exit_ix, outcome, gross_r, gross_r - fees AS net_r FROM g)"""
+trades AS (SELECT symbol, entry_ix, entry_price, risk, now_ix AS exit_ix, outcome, gross_r, gross_r - fees AS net_r{', real' if every else ''} FROM g)"""
 
 
 def limited_sql(s: Setup) -> str:
@@ -207,3 +207,16 @@ SELECT config_id::BIGINT AS config_id, e.outcome AS outcome, count(*) AS n_trade
 def strategy_configs(spark: SparkSession, sf: str) -> DataFrame:
     """Outcomes of two hundred configurations over 42 symbols in one plan with one scan."""
     return cg.totals(cg.trades(m.wide_bars(spark, sf), CONFIGS))
+
+
+_RANDOM = Setup("random", window=10, deviations=1.0)
+_RUNS = 20
+
+
+@R.query(setup_sql(_RANDOM, every=True) + f""", r AS (SELECT symbol, count(*) FILTER (real) AS n_trades, avg(net_r) FILTER (real) AS mean_r, count(*) FILTER (real) / count(*) AS p FROM trades GROUP BY symbol),
+d AS (SELECT t.symbol, t.net_r, k.run, ('0x' || substr(md5('entries:' || k.run || ':' || t.symbol || ':' || t.entry_ix), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw, r.p FROM trades t JOIN r USING (symbol), (SELECT unnest(range(1, {_RUNS + 1})) AS run) k),
+n AS (SELECT symbol, run, avg(net_r) AS null_r FROM d WHERE draw < p GROUP BY symbol, run)
+SELECT r.symbol, r.n_trades, r.mean_r, count(*) AS n_runs, avg(null_r) AS null_mean, count(*) FILTER (null_r < r.mean_r) / count(*) AS percentile FROM n JOIN r USING (symbol) GROUP BY r.symbol, r.n_trades, r.mean_r""")
+def random_entry_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """A setup against random entries of its own frequency, risk, exits and fees, by symbol."""
+    return so.random_entries(m.daily_bars(spark, sf), _RANDOM, _RUNS)

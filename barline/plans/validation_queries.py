@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions import features as ft
 from barline.functions import stats as st
 from barline.functions import validation as va
+from barline.operators import leaks as lk
 from barline.operators import strategies as so
 from barline.plans.analytics_queries import CONFIG_SQL, config_returns
 from barline.plans.research_queries import GROWTH, growth
@@ -299,3 +300,25 @@ def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
 @R.query(f"WITH x AS (SELECT event_id, value / 50 - 1 AS z FROM events) SELECT event_id, {st.normal_cdf_sql('z')} AS p FROM x")
 def normal_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return m.read(spark, sf, "events").select("event_id", st.normal_cdf(F.col("value") / 50 - 1).alias("p"))
+
+
+_CUTS = ("1996-06-30", "1997-12-31", "1999-03-15")
+_SHAKEN = lambda c: f"CASE WHEN b.ts > v.cut_ts THEN b.{c} * (1 + (date_diff('day', DATE '1970-01-01', b.ts::DATE) * 7919 % 13 + 1) / 16.0::DOUBLE) ELSE b.{c} END AS {c}"
+_MADE = f"""{SMA('close', 10)} AS sma, close - lag(close, 5) OVER (PARTITION BY {{0}} ORDER BY ts) AS step, lead(close) OVER (PARTITION BY {{0}} ORDER BY ts) AS ahead, (lag(close) OVER (PARTITION BY {{0}} ORDER BY ts) + close + lead(close) OVER (PARTITION BY {{0}} ORDER BY ts)) / 3 AS centred, close / max(close) OVER (PARTITION BY {{0}}) AS scaled"""
+_FIVE = "[" + ", ".join(f"{{'feature': '{x}', 'same': a.{x} IS NOT DISTINCT FROM f.{x} OR coalesce(abs(a.{x} - f.{x}) <= 1e-9, false)}}" for x in ("sma", "step", "ahead", "centred", "scaled")) + "]"
+
+
+@R.query(D + f""", v AS (SELECT c.cut, k.mode, c.cut_ts FROM (VALUES {', '.join(f"({i}, TIMESTAMP '{c}')" for i, c in enumerate(_CUTS))}) c(cut, cut_ts), (VALUES ('truncated'), ('perturbed')) k(mode)),
+vb AS (SELECT v.cut::INT AS cut, v.mode, v.cut_ts, b.symbol AS of, v.cut || v.mode || b.symbol AS symbol, b.ts, {_SHAKEN('close')} FROM bars b, v WHERE v.mode = 'perturbed' OR b.ts <= v.cut_ts),
+a AS (SELECT cut, mode, cut_ts, of, ts, {_MADE.format('symbol')} FROM vb), f AS (SELECT symbol, ts, {_MADE.format('symbol')} FROM bars),
+l AS (SELECT a.cut, a.mode, a.ts, unnest({_FIVE}, recursive := true) FROM a JOIN f ON f.symbol = a.of AND f.ts = a.ts WHERE a.ts <= a.cut_ts)
+SELECT cut, mode, feature, count(*) AS n, count(*) FILTER (NOT same) AS n_changed, min(ts) FILTER (NOT same) AS first_ts, count(*) FILTER (NOT same) = 0 AS causal FROM l GROUP BY cut, mode, feature""")
+def leak_check_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two causal features and three leaky ones at three cuts, truncated and perturbed, in one plan."""
+    c = F.col("close")
+
+    def feature(d: DataFrame) -> DataFrame:
+        ahead = F.lead("close").over(ft.order())
+        return d.withColumns({"sma": ft.sma(c, 10), "step": c - ft.ago(c, 5), "ahead": ahead, "centred": (ft.ago(c, 1) + c + ahead) / 3, "scaled": c / F.max("close").over(Window.partitionBy("symbol"))})
+
+    return lk.leak_check(m.daily_bars(spark, sf), feature, ("sma", "step", "ahead", "centred", "scaled"), _CUTS)

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.functions import gates as gt
+from barline.functions import stats as st
+from barline.operators import chunks as ck
+from barline.operators import clusters as cl
 from barline.operators import config_grid as cg
 from barline.operators import strategies as so
+from barline.operators.lineage import cut
 from barline.operators.strategies import Setup
 from barline.plans.feature_queries import SMA, STD, W
+from barline.plans.ledger import trial_stats
 from barline.registry import Registry
 from barline.sources import market as m
 
@@ -220,3 +226,67 @@ SELECT r.symbol, r.n_trades, r.mean_r, count(*) AS n_runs, avg(null_r) AS null_m
 def random_entry_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """A setup against random entries of its own frequency, risk, exits and fees, by symbol."""
     return so.random_entries(m.daily_bars(spark, sf), _RANDOM, _RUNS)
+
+
+_A_YEAR = 252
+#: Trials of one campaign: long setups whose two take profits are one effective trial.
+_TRIALS = tuple(Setup(f"{mode}_{w}_{tp}", 1, mode, w, 1.0, take_profit=tp) for mode in ("breakout", "leaving", "returning") for w in (10, 20, 30) for tp in (1.5, 3.0))
+_Z = lambda b: f"(sharpe - {b}) * sqrt(n - 1.0) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)"
+
+
+def _gates_sql() -> str:
+    every = " UNION ALL ".join(f"SELECT {i}::BIGINT AS config_id, * FROM ({setup_sql(s)} SELECT entry_ix, exit_ix, net_r FROM trades)" for i, s in enumerate(_TRIALS))
+    return f"""t AS MATERIALIZED ({every}),
+a AS (SELECT config_id, count(*) AS n, avg(net_r) AS mean, avg(exit_ix - entry_ix) AS avg_holding FROM t GROUP BY config_id),
+p AS (SELECT config_id, any_value(n) AS n, any_value(mean) AS mean, any_value(avg_holding) AS avg_holding, avg((net_r - mean) ** 2) AS m2, avg((net_r - mean) ** 3) AS m3, avg((net_r - mean) ** 4) AS m4 FROM t JOIN a USING (config_id) GROUP BY config_id),
+q AS (SELECT config_id, n, avg_holding, mean / sqrt(m2) AS sharpe, m3 / m2 ** 1.5 * sqrt(n * (n - 1.0)) / (n - 2) AS skew, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * (m4 / (m2 * m2) - 3) + 6) + 3 AS kurtosis FROM p),
+s AS (SELECT count(*) AS n_raw, count(DISTINCT config_id // 2) AS n_eff, greatest(avg(sharpe * sharpe * {_A_YEAR}) - avg(sharpe * sqrt({_A_YEAR}.0)) ** 2, 0.0) / {_A_YEAR} AS var_sr FROM q),
+b AS MATERIALIZED (SELECT *, sqrt(var_sr) * ({gt.expected_max_sql('n_eff')}) AS benchmark_n_eff, sqrt(var_sr) * ({gt.expected_max_sql('n_raw')}) AS benchmark_n_raw, {gt.expected_max_sql('(n_eff + 1)')} AS luck FROM s),
+z AS (SELECT q.*, b.*, {_Z('benchmark_n_eff')} AS z_eff, {_Z('benchmark_n_raw')} AS z_raw FROM q, b),
+d AS MATERIALIZED (SELECT *, {st.normal_cdf_sql('z_eff')} AS dsr_n_eff, {st.normal_cdf_sql('z_raw')} AS dsr_n_raw FROM z)"""
+
+
+def _of_trials(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trades of the grid, moments of each configuration's trades, and the trials' counts: configurations that differ in their take profit alone are one effective trial."""
+    done = cut(cg.trades(m.daily_bars(spark, sf), _TRIALS).select("config_id", "entry_ix", "exit_ix", "net_r"))
+    moments = st.sharpe_moments(done, ["config_id"], "net_r")
+    trials = moments.select(F.lit(1).alias("campaign_id"), F.col("config_id").alias("trial_id"), (F.col("sharpe") * F.sqrt(F.lit(float(_A_YEAR)))).alias("score"))
+    grouped = trials.select(F.lit(1).alias("run"), "trial_id", F.floor(F.col("trial_id") / 2).alias("cluster"))
+    return done, moments, trial_stats(trials, grouped)
+
+
+@R.query(f"WITH {_gates_sql()} SELECT config_id, n, sharpe, n_eff, n_raw, var_sr, benchmark_n_eff, benchmark_n_raw, dsr_n_eff, dsr_n_raw FROM d")
+def deflated_by_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Each configuration's ratio deflated by effective and by raw trials, side by side."""
+    _, moments, counts = _of_trials(spark, sf)
+    return gt.deflated(moments, counts, 0, _A_YEAR).select("config_id", "n", "sharpe", "n_eff", "n_raw", "var_sr", "benchmark_n_eff", "benchmark_n_raw", "dsr_n_eff", "dsr_n_raw")
+
+
+_F = lambda x, k: f"printf('%.{k}f', {x})"
+
+
+@R.query(f"""WITH {m.DAILY_SQL}, y AS (SELECT min(days) / 365.25 AS years FROM (SELECT date_diff('day', min(ts), max(ts)) AS days FROM bars GROUP BY symbol)), {_gates_sql()},
+g AS (SELECT d.*, y.years, (luck / 1.5) ** 2 AS need FROM d, y)
+SELECT config_id, 'g2_minbtl' AS gate, years AS value, years >= need AS passed, 'IS ' || {_F('years', 2)} || ' y vs MinBTL ' || {_F('need', 2)} || ' y (N=' || (n_eff + 1) || ', target Sharpe 1.5)' AS reason FROM g
+UNION ALL SELECT config_id, 'g3_is', sharpe, n >= 500 AND avg_holding >= 3, CASE WHEN n >= 500 AND avg_holding >= 3 THEN 'IS Sharpe ' || {_F('sharpe', 2)} || ', ' || n || ' trades' ELSE concat_ws('; ', CASE WHEN n < 500 THEN n || ' trades < min_trades 500' END, CASE WHEN avg_holding < 3 THEN 'average holding ' || {_F('avg_holding', 2)} || ' bars < min_holding_bars 3' END) END FROM g
+UNION ALL SELECT config_id, 'g5_dsr', dsr_n_eff, dsr_n_eff >= 0.95, 'DSR ' || {_F('dsr_n_eff', 3)} || ' (N_eff=' || n_eff || '), ' || {_F('dsr_n_raw', 3)} || ' (N_raw=' || n_raw || ') vs 0.95' FROM g""")
+def gate_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of the gates on length, in-sample limits and deflated ratio, with their reasons."""
+    done, moments, counts = _of_trials(spark, sf)
+    spans = m.daily_bars(spark, sf).groupBy("symbol").agg(F.datediff(F.max("ts"), F.min("ts")).alias("days")).agg((F.min("days") / 365.25).alias("years"))
+    held = done.groupBy("config_id").agg(F.count("*").alias("n_trades"), F.avg(F.col("exit_ix") - F.col("entry_ix")).alias("avg_holding"))
+    d = cut(gt.deflated(moments, counts, 0, _A_YEAR).join(held, "config_id").crossJoin(F.broadcast(spans)))  # one row
+    parts = [gt.min_length_gate(d, F.col("years"), F.col("n_eff"), 1.5), gt.in_sample_gate(d, 500, 3), gt.deflated_gate(d, 0.95)]
+    out = [p.select("config_id", "gate", "value", "passed", "reason") for p in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@R.query()
+def trial_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of the trials by their monthly results, after the guard (iterated: no SQL; tests hold it against numpy)."""
+    bars = m.daily_bars(spark, sf)
+    at = ck.numbered(bars.select("symbol", "ts")).select("symbol", F.col("row_ix").alias("exit_ix"), F.date_trunc("month", "ts").alias("month"))
+    monthly = cg.trades(bars, _TRIALS).join(at, ["symbol", "exit_ix"]).groupBy("config_id", "month").agg(F.sum("net_r").alias("r"))
+    monthly = cut(monthly)
+    pairs = st.pairwise_correlation(monthly, "config_id", "month", "r", 12)
+    return cl.clusters(monthly.select(F.col("config_id").alias("series")), pairs).select(F.col("series").alias("config_id"), "cluster")

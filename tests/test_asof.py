@@ -49,8 +49,11 @@ def test_no_range_join_and_many_tasks_for_one_key(spark):
     joined = asof_join(a.withColumn("k", F.lit("x")), b.withColumn("k", F.lit("x")), ("k",), "ts", "known", ["v"], block=20)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in keys}
     try:
+        # As for tables too large to be broadcast.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.shuffle.partitions", "16")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         joined = asof_join(a.withColumn("k", F.lit("x")), b.withColumn("k", F.lit("x")), ("k",), "ts", "known", ["v"], block=20)

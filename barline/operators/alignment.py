@@ -188,3 +188,33 @@ def outside(rows: DataFrame, ranges: DataFrame, month: Column) -> DataFrame:
     """Rows whose month lies in none of the half-open ranges (symbol, first_month, end_month); months are the equi-key."""
     months = ranges.select("symbol", F.explode(F.sequence("first_month", F.col("end_month") - 1)).alias("__month")).distinct()
     return rows.withColumn("__month", month).join(months, ["symbol", "__month"], "left_anti").drop("__month")
+
+
+def missing_days(bars: DataFrame, least: int) -> DataFrame:
+    """symbol, day of weekdays (but 25 December and 1 January) between a symbol's first and last day on which it has fewer bars than ``least``."""
+    days = bars.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    span = days.groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("symbol", F.explode(F.sequence("a", "b")).alias("day"))
+    holiday = ((F.month("day") == 12) & (F.dayofmonth("day") == 25)) | ((F.month("day") == 1) & (F.dayofmonth("day") == 1))
+    return span.join(days, ["symbol", "day"], "left").where((F.weekday("day") < 5) & ~holiday & (F.coalesce("n", F.lit(0)) < least)).select("symbol", "day")
+
+
+def best_offset(bars: DataFrame, second: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
+    """symbol, offset: by how many hours the second source's bids (symbol, ts, open, high, low, close) must be moved so that the closes differ least, by the median; ties: the smaller one."""
+    moved = second.withColumn("offset", F.explode(F.array(*[F.lit(h) for h in offsets]))).withColumn("ts", F.col("ts") + F.expr("make_dt_interval(0, offset, 0, 0)")).withColumnRenamed("close", "other")
+    apart = bars.select("symbol", "ts", "bid_close").join(moved, ["symbol", "ts"]).groupBy("symbol", "offset").agg(F.percentile(F.abs(F.col("bid_close") - F.col("other")), F.lit(0.5)).alias("apart"))
+    return apart.groupBy("symbol").agg(F.min(F.struct("apart", "offset"))["offset"].alias("offset"))
+
+
+def filled_quotes(bars: DataFrame, second: DataFrame, least: int, offsets: tuple[int, ...]) -> DataFrame:
+    """``bars`` (symbol, ts, bid and ask prices, n_ticks) with bars of a second source on days that have too few, and ``source`` (main or second).
+
+    Only bars that aren't there are added. The second source has bids alone, on a clock that is some hours off
+    (see :func:`best_offset`); its asks lie above its bids by the main source's median spread at that hour (none: no bar is added).
+    """
+    spread = bars.groupBy("symbol", F.hour("ts").alias("hour")).agg(F.percentile(F.col("ask_close") - F.col("bid_close"), F.lit(0.5)).alias("spread"))
+    clocked = second.join(best_offset(bars, second, offsets), "symbol").withColumn("ts", F.col("ts") + F.expr("make_dt_interval(0, offset, 0, 0)"))
+    wanted = clocked.withColumn("day", F.to_date("ts")).join(missing_days(bars, least), ["symbol", "day"], "left_semi").join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    names = ("open", "high", "low", "close")
+    added = wanted.withColumn("hour", F.hour("ts")).join(spread, ["symbol", "hour"]).select("symbol", "ts", *[F.col(n).alias(f"bid_{n}") for n in names], *[(F.col(n) + F.col("spread")).alias(f"ask_{n}") for n in names], "n_ticks")
+    own = bars.select("symbol", "ts", *[f"{side}_{n}" for side in ("bid", "ask") for n in names], "n_ticks")
+    return own.withColumn("source", F.lit("main")).unionByName(added.withColumn("source", F.lit("second")))

@@ -223,3 +223,39 @@ def point_to_interval(spark: SparkSession, sf: str) -> DataFrame:
     e = m.read(spark, sf, "events").select("event_id", "event_type", "ts", (F.col("user_id") % 50).alias("k"))
     ends = ck.numbered(e.where("event_type = 'purchase'").select("k", "ts"), ("k",), days=1).select("k", F.col("ts").alias("closes"), (F.col("row_ix") + 1).alias("bar_ix"))
     return asof_join(e.select("event_id", "ts", "k"), ends, ("k",), "ts", "closes", ["bar_ix"], "forward", days=1).select("event_id", "closes", "bar_ix")
+
+
+#: Quotes of even events are the main source; bids of odd ones, five hours behind, the second.
+_OHLC = "first({0} ORDER BY stamp, event_id) AS {1}open, max({0}) AS {1}high, min({0}) AS {1}low, last({0} ORDER BY stamp, event_id) AS {1}close"
+
+
+@R.query(f"""WITH q AS (SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS slot, ts AS stamp, event_id, floor(value * 100) AS bid, floor(value * 100) + 1 + event_id % 3 AS ask FROM events),
+bars AS MATERIALIZED (SELECT symbol, slot AS ts, {_OHLC.format('bid', 'bid_')}, {_OHLC.format('ask', 'ask_')}, count(*) AS n_ticks FROM q WHERE event_id % 2 = 0 GROUP BY symbol, slot),
+second AS MATERIALIZED (SELECT symbol, slot - INTERVAL 5 HOURS AS ts, {_OHLC.format('bid', '')}, count(*) AS n_ticks FROM q GROUP BY symbol, slot),
+o AS (SELECT symbol, arg_min(off, (apart, off)) AS off FROM (SELECT b.symbol, k.off, quantile_cont(abs(b.bid_close - s.close), 0.5) AS apart FROM second s, (VALUES (4), (5), (6)) k(off) JOIN bars b ON b.symbol = s.symbol AND b.ts = s.ts + INTERVAL 1 HOUR * k.off GROUP BY b.symbol, k.off) GROUP BY symbol),
+sp AS (SELECT symbol, hour(ts) AS h, quantile_cont(ask_close - bid_close, 0.5) AS spread FROM bars GROUP BY symbol, hour(ts)),
+n AS (SELECT symbol, ts::DATE AS day, count(*) AS n FROM bars GROUP BY symbol, ts::DATE), ax AS (SELECT symbol, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM n GROUP BY symbol),
+miss AS (SELECT symbol, day FROM ax LEFT JOIN n USING (symbol, day) WHERE isodow(day) < 6 AND NOT (month(day) = 12 AND day(day) = 25) AND NOT (month(day) = 1 AND day(day) = 1) AND coalesce(n, 0) < 20),
+c AS (SELECT s.symbol, s.ts + INTERVAL 1 HOUR * o.off AS ts, s.open, s.high, s.low, s.close, s.n_ticks FROM second s JOIN o USING (symbol)),
+w AS (SELECT c.* FROM c SEMI JOIN miss m ON m.symbol = c.symbol AND m.day = c.ts::DATE), a AS (SELECT w.* FROM w ANTI JOIN bars b ON b.symbol = w.symbol AND b.ts = w.ts)
+SELECT symbol, ts, bid_open, bid_high, bid_low, bid_close, ask_open, ask_high, ask_low, ask_close, n_ticks, 'main' AS source FROM bars
+UNION ALL SELECT a.symbol, a.ts, open, high, low, close, open + spread, high + spread, low + spread, close + spread, n_ticks, 'second' FROM a JOIN sp ON sp.symbol = a.symbol AND sp.h = hour(a.ts)""")
+def gap_filled_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quote bars with thin weekdays filled from a second source: its clock found by the closes, its asks by the hour's median spread."""
+    t = m.event_ticks(spark, sf).withColumns({"bid": F.col("price"), "ask": F.col("price") + 1 + F.col("seq.event_id") % 3})
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    main = al.quotes(t.where(F.col("seq.event_id") % 2 == 0), hour)
+    second = al.quotes(t, hour).select("symbol", (F.col("ts") - F.expr("INTERVAL 5 HOURS")).alias("ts"), *[F.col(f"bid_{n}").alias(n) for n in ("open", "high", "low", "close")], "n_ticks")
+    return al.filled_quotes(main, second, 20, (4, 5, 6))
+
+
+@R.query("""WITH c AS (SELECT user_id, event_type, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS early, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS late FROM events GROUP BY user_id, event_type)
+SELECT user_id, count(*) AS n_types, sum(abs(late - early))::BIGINT AS moved, string_agg(event_type, ',' ORDER BY event_type) FILTER (late > early) AS rising, max(late) FILTER (event_type = 'purchase') AS late_purchases FROM c GROUP BY user_id""")
+def map_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by type as maps, early and late; joined key by key, filtered and looked up."""
+    c = m.read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16'")).alias("early"), F.count_if(F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-16'")).alias("late"))
+    maps = c.groupBy("user_id").agg(*[F.map_from_entries(F.collect_list(F.struct("event_type", k))).alias(k) for k in ("early", "late")])
+    change = F.map_zip_with("early", "late", lambda _, a, b: F.coalesce(b, F.lit(0)) - F.coalesce(a, F.lit(0)))
+    d = maps.withColumn("change", change)
+    rising = F.array_sort(F.map_keys(F.map_filter("change", lambda _, v: v > 0)))
+    return d.select("user_id", F.size("change").cast("bigint").alias("n_types"), F.aggregate(F.map_values("change"), F.lit(0).cast("bigint"), lambda s, v: s + F.abs(v)).alias("moved"), F.when(F.size(rising) > 0, F.array_join(rising, ",")).alias("rising"), F.try_element_at("late", F.lit("purchase")).alias("late_purchases"))

@@ -77,10 +77,10 @@ def funding_features(funding: DataFrame) -> DataFrame:
     return d.select("symbol", F.col("ts").alias("known"), F.col("rate").alias("last_rate"), F.percentile("rate", F.lit(0.5)).over(over(30)).alias("median_rate"), F.avg("rate").over(over(7)).alias("mean_rate"))
 
 
-def higher(bars: DataFrame, minutes: int) -> DataFrame:
-    """symbol, known, below, rsi of completed bars of ``minutes``: whether the close lies below its mean of 20."""
+def higher(bars: DataFrame, minutes: int, index: bool) -> DataFrame:
+    """symbol, known, below, rsi of completed bars of ``minutes``: whether the close lies below its mean of 20, and the ``index`` of 14 if it is asked for."""
     closes = resample(bars, F.window("ts", f"{minutes} minutes").start.cast("timestamp_ntz"))
-    indexed = cut(with_index(closes, (14,)))
+    indexed = cut(with_index(closes, (14,))) if index else closes.withColumn("rsi_14", F.lit(None).cast("double"))
     d = ck.in_blocks(indexed, 19, lambda d: d.select("symbol", "ts", (F.col("close") < ft.sma(F.col("close"), 20)).alias("below"), "rsi_14", "__own"))
     return d.select("symbol", (F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("known"), "below", F.col("rsi_14").alias("rsi"))
 
@@ -121,7 +121,7 @@ def conditions(bars: DataFrame, minutes: int, benchmark: str, funding: DataFrame
         known.append((funding_features(funding).withColumnRenamed("known", "funding_at"), "funding_at", ["last_rate", "median_rate", "mean_rate"]))
     for name, span in HIGHER.items():
         if span > minutes:
-            known.append((higher(bars, span).withColumnsRenamed({"known": f"{name}_at", "below": f"{name}_below", "rsi": f"{name}_rsi"}), f"{name}_at", [f"{name}_below", f"{name}_rsi"]))
+            known.append((higher(bars, span, name == "htf4h").withColumnsRenamed({"known": f"{name}_at", "below": f"{name}_below", "rsi": f"{name}_rsi"}), f"{name}_at", [f"{name}_below", f"{name}_rsi"]))
     rows = cut(asof_joins(rows, known, ("symbol",), "closes_at"))
 
     c, lead_ = F.col("close"), F.col("lead")

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.functions import portfolios as pf
 from barline.functions import stats as st
 
 #: Steps of Newton's method for the inverse distribution: from 0 it nears the root from one side.
@@ -41,17 +42,17 @@ def expected_max_sql(n: str) -> str:
     return f"CASE WHEN {n} <= 1 THEN 0.0 ELSE {1 - st.EULER!r}::DOUBLE * ({normal_inverse_sql(f'(1 - 1 / {n}::DOUBLE)')}) + {st.EULER!r}::DOUBLE * ({normal_inverse_sql(f'(1 - 1 / ({n}::DOUBLE * {math.e!r}::DOUBLE))')}) END"
 
 
-def deflated(moments: DataFrame, trial_stats: DataFrame, variants: int, periods_per_year: float) -> DataFrame:
+def deflated(moments: DataFrame, trial_stats: DataFrame, variants: int, periods_per_year: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """``moments`` (n, sharpe, skew, kurtosis) with the ratio deflated by effective and by raw trials side by side.
 
-    ``trial_stats``: one row with n_raw, n_eff and var_score, the variance of the trials' annual ratios. Portfolio variants count as
-    trials. Adds n_eff, n_raw, var_sr, benchmark_n_eff, benchmark_n_raw, dsr_n_eff, dsr_n_raw.
+    ``trial_stats``: one row (or one for each of ``keys``) with n_raw, n_eff and var_score, the variance of the trials' annual ratios.
+    Portfolio variants count as trials. Adds n_eff, n_raw, var_sr, benchmark_n_eff, benchmark_n_raw, dsr_n_eff, dsr_n_raw.
     """
     if variants < 0 or periods_per_year <= 0:
         raise ValueError("variants must not be negative, and periods a year must be positive")
-    one = trial_stats.select((F.col("n_eff") + variants).alias("n_eff"), (F.col("n_raw") + variants).alias("n_raw"), (F.greatest("var_score", F.lit(0.0)) / periods_per_year).alias("var_sr"))
+    one = trial_stats.select(*keys, (F.col("n_eff") + variants).alias("n_eff"), (F.col("n_raw") + variants).alias("n_raw"), (F.greatest("var_score", F.lit(0.0)) / periods_per_year).alias("var_sr"))
     one = one.withColumns({f"benchmark_{k}": F.sqrt("var_sr") * expected_max(F.col(k)) for k in ("n_eff", "n_raw")})
-    d = moments.crossJoin(F.broadcast(one))  # one row
+    d = moments.join(one, list(keys)) if keys else moments.crossJoin(F.broadcast(one))  # one row
     z = lambda k: st.sharpe_z(F.col("sharpe"), F.col(f"benchmark_{k}"), F.col("n"), F.col("skew"), F.col("kurtosis"))
     return d.withColumns({f"dsr_{k}": st.normal_cdf(z(k)) for k in ("n_eff", "n_raw")})
 
@@ -95,3 +96,36 @@ def deflated_gate(d: DataFrame, least: float) -> DataFrame:
     """Gate 5 of rows of :func:`deflated`: the ratio by effective trials reaches ``least``; that by raw trials stands beside it."""
     ok = F.coalesce(F.col("dsr_n_eff") >= least, F.lit(False)) & ~F.isnan("dsr_n_eff")
     return d.withColumns({"gate": F.lit("g5_dsr"), "value": F.col("dsr_n_eff"), "passed": ok, "reason": F.concat(F.lit("DSR "), shown("%.3f", F.col("dsr_n_eff")), F.lit(" (N_eff="), F.col("n_eff").cast("string"), F.lit("), "), shown("%.3f", F.col("dsr_n_raw")), F.lit(" (N_raw="), F.col("n_raw").cast("string"), F.lit(f") vs {least:g}"))})
+
+
+def robustness_gate(campaigns: DataFrame, stressed: DataFrame, primary: DataFrame, second: DataFrame, trial_stats: DataFrame, variants: int, periods_per_year: float, least_dsr: float, multiplier: float = 2.0, most_drop: float = 0.30, least_common: int = 60) -> DataFrame:
+    """Gate 6 of each campaign's portfolio: it bears stressed costs and a second source.
+
+    ``campaigns``: campaign; ``stressed``, ``primary``, ``second``: campaign, ts, ret of the portfolio with costs times ``multiplier``, as
+    it is, and on the second source. Under stress the ratio must stay above 0 and its deflated one (by effective trials) reach
+    ``least_dsr``; on the bars that both sources have, the ratio may fall by ``most_drop`` at most. ``trial_stats`` is keyed by campaign.
+    A campaign without returns, without a second source or with fewer than ``least_common`` common bars fails.
+    """
+    s = stressed.groupBy(*pf.KEY).agg(pf.annual_ratio(F.col("ret"), periods_per_year).alias("sharpe_stressed"))
+    dsr = deflated(st.sharpe_moments(stressed, pf.KEY), trial_stats, variants, periods_per_year, tuple(pf.KEY)).select(*pf.KEY, "n_eff", "n_raw", "dsr_n_eff", "dsr_n_raw")
+    has = second.select(*pf.KEY).distinct().withColumn("has_second", F.lit(True))
+    both = primary.where("ret IS NOT NULL").select(*pf.KEY, "ts", F.col("ret").alias("x")).join(second.where("ret IS NOT NULL").select(*pf.KEY, "ts", F.col("ret").alias("y")), [*pf.KEY, "ts"])
+    c = both.groupBy(*pf.KEY).agg(F.count("*").alias("n_common"), *[F.when(F.count("*") >= least_common, pf.annual_ratio(F.col(k), periods_per_year)).alias(n) for k, n in (("x", "sharpe_primary"), ("y", "sharpe_second"))])
+    d = campaigns.select(*pf.KEY).distinct()
+    for other in (s, dsr, has, c):
+        d = d.join(other, pf.KEY, "left")
+    pri, alt = F.col("sharpe_primary"), F.col("sharpe_second")
+    drop = F.when(pri > 0, 1 - alt / pri).when(pri.isNotNull(), F.lit(float("inf")))
+    d = d.withColumn("n_common", F.coalesce("n_common", F.lit(0))).withColumn("sharpe_drop", drop)
+    fails = lambda c, ok: ~(F.coalesce(ok, F.lit(False)) & ~F.isnan(c))
+    sh, ds, fall = F.col("sharpe_stressed"), F.col("dsr_n_eff"), F.col("sharpe_drop")
+    problems = [
+        F.when(fails(sh, sh > 0), F.concat(F.lit("Sharpe "), shown("%.2f", sh), F.lit(f" with costs x {multiplier:g} is not > 0"))),
+        F.when(fails(ds, ds >= least_dsr), F.concat(F.lit(f"costs x {multiplier:g}: DSR "), shown("%.3f", ds), F.lit(f" < {least_dsr:g}"))),
+        F.when(F.col("has_second").isNull(), F.lit("no returns on a second source"))
+        .when(F.col("n_common") < least_common, F.concat(F.lit("only "), F.col("n_common").cast("string"), F.lit(" common bars with the second source")))
+        .when(fails(fall, fall <= most_drop), F.concat(F.lit("Sharpe "), shown("%.2f", pri), F.lit(" -> "), shown("%.2f", alt), F.lit(f" on the second source (a drop above {most_drop:g})"))),
+    ]
+    text = F.concat_ws("; ", *problems)
+    summary = F.concat(F.lit(f"costs x {multiplier:g}: Sharpe "), shown("%.2f", sh), F.lit(", DSR "), shown("%.3f", ds), F.lit("; second source drop "), shown("%.2f", fall))
+    return d.withColumns({"gate": F.lit("g6_robustness"), "value": sh, "passed": text == "", "reason": F.when(text == "", summary).otherwise(text)}).drop("has_second")

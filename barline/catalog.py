@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bar_queries", "feature_queries", "analytics_queries", "ledger_queries", "portfolio_queries", "study_queries", "strategy_queries", "alignment_queries", "research_queries", "validation_queries", "report_queries", "rule_queries", "simulator_queries", "mask_queries", "campaign_queries")
+MODULES = ("bar_queries", "feature_queries", "analytics_queries", "ledger_queries", "portfolio_queries", "study_queries", "strategy_queries", "alignment_queries", "research_queries", "validation_queries", "report_queries", "rule_queries", "simulator_queries", "mask_queries", "campaign_queries", "bundle_queries")
 
 
 def _registries() -> list:

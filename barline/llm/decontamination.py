@@ -33,6 +33,8 @@ WINDOW, SUBSTITUTIONS = 13, 2
 WHOLE = 8
 #: Rows of 8 to 40 bytes that are broadcast at most; their count is taken first.
 BROADCAST_ROWS = 1_000_000
+#: Shares that the hits of one hash are dealt to where seeds are too many for a broadcast.
+SALTS = 16
 
 
 def word_array(text: Column) -> Column:
@@ -88,6 +90,26 @@ def keyed_texts(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit("second"), text)})
 
 
+def _met(hits: DataFrame, item_seeds: DataFrame) -> DataFrame:
+    """Hits with the items and places that have their hash. Common words give hot hashes: seeds are broadcast, or hits dealt by text and hash."""
+    if item_seeds.count() <= BROADCAST_ROWS:
+        return hits.join(F.broadcast(item_seeds), "hash")
+    copies = item_seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hits.withColumn("salt", F.pmod(F.xxhash64("k1", "position"), F.lit(SALTS)).cast("int")).join(copies, ["hash", "salt"])
+
+
+def _most_within(same: str, span: Column) -> Column:
+    """Most ones in ``span`` places in a row of an array, by a sliding sum in one pass."""
+    at = lambda i: F.get(F.col(same), i)
+
+    def step(acc: Column, i: Column) -> Column:
+        now = acc["now"] + at(i) - F.when(i >= span, at(i - span)).otherwise(F.lit(0))
+        return F.struct(now.alias("now"), F.when(i >= span - 1, F.greatest(acc["most"], now)).otherwise(acc["most"]).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(same) - 1), start, step, lambda acc: acc["most"])
+
+
 def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: tuple[tuple[int, ...], ...] = MASKS, text_column: str = "text") -> DataFrame:
     """k1, k2, item_ids (ascending), most_words of each distinct contaminated text."""
     keyed = keyed_texts(docs.select(text_column), text_column).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
@@ -96,20 +118,18 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substi
     item_seeds, _ = materialize(seeds.select("item_id", F.col("position").alias("item_position"), "hash"), "item-seeds")
     hashes = checked_broadcast(item_seeds.select("hash").distinct())
     hits, _ = materialize(_positions(keyed, ["k1", "k2"], "text", masks).join(hashes, "hash", "left_semi").distinct(), "hits")
-    aligned, _ = materialize(hits.join(item_seeds, "hash").select("k1", "k2", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).distinct(), "aligned")
+    aligned, _ = materialize(_met(hits, item_seeds).select("k1", "k2", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).distinct(), "aligned")
     texts = aligned.select("k1", "k2").distinct()
     hit_texts = keyed.join(checked_broadcast(texts), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     words, _ = materialize(hit_texts.select("k1", "k2", word_array(F.col("text")).alias("doc_words")), "hit-words")
     item_words = items.select("item_id", word_array(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
-    # Beside the item lies the part of the document that the shift puts there.
+    # Beside the item lies the part of the document that the shift puts there. Words of a document meet last, so no copy of them is shuffled.
     beside = F.transform("item_words", lambda w, i: (F.get(F.col("doc_words"), (i + F.col("shift")).cast("int")).eqNullSafe(w)).cast("int"))
-    lined = aligned.join(words, ["k1", "k2"]).join(item_words, "item_id").select("k1", "k2", "item_id", beside.alias("same"))
-    # Agreeing words before each place; a window's count is a difference of two.
-    sums = F.aggregate("same", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    lined = aligned.join(item_words, "item_id").join(words, ["k1", "k2"]).select("k1", "k2", "item_id", beside.alias("same"))
     span = F.least(F.lit(window), F.size("same"))
-    most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - span), lambda i: F.get(F.col("sums"), i + span) - F.get(F.col("sums"), i)))
+    most = _most_within("same", span)
     spared = F.when(F.col("span") < min(max(WHOLE, substitutions + 1), window), F.lit(0)).otherwise(F.lit(substitutions))
-    found = lined.withColumn("sums", sums).select("k1", "k2", "item_id", most.alias("words"), span.alias("span")).where(F.col("words") >= F.col("span") - spared)
+    found = lined.select("k1", "k2", "item_id", most.alias("words"), span.alias("span")).where(F.col("words") >= F.col("span") - spared)
     return materialize(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("words").alias("most_words")), "verdict")[0]
 
 

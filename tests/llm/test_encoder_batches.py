@@ -28,3 +28,25 @@ def test_words_are_asked_for_together(name):
     (ids, offsets), = code.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(asked) < 100
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memory_of_new_words_is_bounded(name, monkeypatch):
+    monkeypatch.setattr("barline.llm.fast_tokens.ASKED", 50, raising=False)
+    monkeypatch.setattr("barline.llm.fast_tokens.AT_ONCE", 4000)
+    code = CachedEncoder(public_tokenizers.path(name), cache=1500)
+    calls, plain = [], code.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(sum(len(t.split()) for t in texts))
+            return plain.encode_batch_fast(texts, **more)
+
+    code.tokenizer = Counting()
+    texts = [" ".join(["always", "x1", *(f"{k}a{i}" for i in range(300))]) for k in range(12)]
+    got = [ids[a:b].tolist() for ids, offsets in code.encode(pa.array(texts)) for a, b in zip(offsets[:-1], offsets[1:])]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(calls) <= 50  # not all new words of a part at once
+    assert len(code.slot) <= 1500
+    blank = "" if code.kind == "word" else " "
+    assert blank + "x1" in code.slot  # met in every part, so it was kept

@@ -90,12 +90,20 @@ nb AS (SELECT symbol, ts, close, row_number() {LAG} - 1 AS bar_ix FROM fourth),
 funding AS (SELECT p.symbol, n.bar_ix, p.stamp, p.value / 1000000 AS rate, k.close AS mark FROM parts p JOIN nb n ON n.symbol = p.symbol AND n.ts <= p.stamp AND p.stamp < n.ts + INTERVAL 4 HOURS LEFT JOIN marks k ON k.symbol = p.symbol AND k.ts = p.slot - INTERVAL 1 HOUR)"""
 
 
+def settlements(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event as a settlement: symbol, stamp, rate."""
+    return m.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("stamp"), (F.col("value") / 1000000).alias("rate"))
+
+
+def funding_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Four-hour bars of the events; each settlement falls in one of them."""
+    return m.bars(m.event_ticks(spark, sf), F.window("ts", "4 hours").start.cast("timestamp_ntz"))
+
+
 def funding(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Four-hour bars, and each event as a settlement at them."""
-    ticks = m.event_ticks(spark, sf)
-    bars = m.bars(ticks, F.window("ts", "4 hours").start.cast("timestamp_ntz"))
-    events = m.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("stamp"), (F.col("value") / 1000000).alias("rate"))
-    return bars, al.funding_rows(events, bars, two_series(spark, sf)[1], 14_400, 3600)
+    bars = funding_bars(spark, sf)
+    return bars, al.funding_rows(settlements(spark, sf), bars, two_series(spark, sf)[1], 14_400, 3600)
 
 
 @R.query(FUNDING + " SELECT symbol, bar_ix, stamp, rate, mark FROM funding")
